@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, packing, sharding
 
 QUERIES = {
     "op6_kd_tree_shards": sharding.op6_kd_tree_shards,
+    "op9_pack_windows": packing.op9_pack_windows,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
