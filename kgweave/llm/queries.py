@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, sharding
+from . import mixing, neardup, packing, sharding, toxicity
 
 QUERIES = {
+    "op1_toxicity_factorization_machine": toxicity.op1_toxicity_factorization_machine,
     "op3_lsh_forest_near_duplicates": neardup.op3_lsh_forest_near_duplicates,
     "op6_kd_tree_shards": sharding.op6_kd_tree_shards,
     "op9_pack_windows": packing.op9_pack_windows,
