@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,21 @@ def discard(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once for each application, for operators that run Python there."""
+    context, top = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(top) and not any("kgweave-code" in f for f in context.listFiles):
+        path = os.path.join(tempfile.mkdtemp(prefix="kgweave-"), "kgweave-code.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(top):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
+        context.addPyFile(path)
+    return spark
+
+
 def utf8(text: Column) -> Column:
     """The text's bytes; a null text counts as empty."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 BITS, FACTORS = 18, 8
 STARTS = (5, 6, 7)
@@ -151,6 +151,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tu
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Machine:
+    ship(docs.sparkSession)
     rows, weight = sample(docs, labels, per_label)
     y = np.array([k for _, k in rows], float)
     return train([terms(t) for t, _ in rows], y, np.array([weight[k] for _, k in rows]))
