@@ -17,10 +17,12 @@ Where segments end depends on the rows alone, not on how Arrow cuts them into ba
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 WINDOW = 2048
 END_ID = 1
@@ -37,9 +39,11 @@ SENTENCE_PENALTY, HARD_PENALTY = 6, 32
 HARD_STEP = 32
 SEGMENT = 1 << 20
 #: Words whose ids each Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: A stop or comma alone between a letter or digit and a blank.
+_MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
 _LOADED: dict[str, "WordTokenizer"] = {}
 
 
@@ -52,8 +56,8 @@ def tokenizer_path() -> str:
 class WordTokenizer:
     """The tokenizer's ids for whole texts, as unsigned 16-bit integers.
 
-    It never joins anything across a space or line feed, so a text's ids are those of the runs
-    between them, and those of common runs are remembered.
+    It never joins anything across a space or line feed, nor a letter or digit with a mark behind it,
+    so a text's ids are those of the runs between them, and those of common runs are remembered.
     """
 
     def __init__(self, path: str):
@@ -65,20 +69,31 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         assert self.inner.get_vocab_size() <= 1 << 16
         self.known: dict[str, bytes] = {}
-        #: Whether an id ends a sentence.
-        self.stops = np.zeros(1 << 16, bool)
+        #: Whether an id ends a sentence; a word.
+        self.stops, self.ends = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         for word, i in self.inner.get_vocab().items():
             self.stops[i] = word.removesuffix("</w>") in (".", "!", "?", "...")
+            self.ends[i] = word.endswith("</w>")
+
+    def learn(self, new: list[str]) -> None:
+        """Remember the ids of runs. Letters alone are one word, which ends with a word-end id: such runs go through in one text."""
+        plain = [w for w in new if w.isalpha()]
+        ids = np.array(self.inner.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint16)
+        after = np.flatnonzero(self.ends[ids]) + 1
+        if len(after) == len(plain):
+            raw, stop = ids.tobytes(), (after * 2).tolist()
+            self.known.update(zip(plain, [raw[a:b] for a, b in zip([0, *stop], stop)]))
+            new = [w for w in new if not w.isalpha()]
+        self.known.update(zip(new, [array("H", e.ids).tobytes() for e in self.inner.encode_batch_fast(new, add_special_tokens=False)]))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        runs = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        runs = [_MARK.sub(r" \1", t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list({w for ws in runs for w in ws if w not in known})
+        new = list(set(chain.from_iterable(runs)).difference(known))
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, [array("H", e.ids).tobytes() for e in self.inner.encode_batch_fast(part, add_special_tokens=False)]))
+            self.learn(new[at : at + 20_000])
         return [np.frombuffer(b"".join(map(known.__getitem__, ws)), np.uint16) for ws in runs]
 
 
@@ -153,6 +168,7 @@ def pack(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) -> Da
     An empty table gives no pieces. Other columns are ignored. sequence_id is unique: the
     partition's number in the upper bits, the sequence's in the lower 33.
     """
+    ship(docs.sparkSession)
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
