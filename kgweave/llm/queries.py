@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, sharding, toxicity
+from . import mixing, neardup, packing, private, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity_factorization_machine": toxicity.op1_toxicity_factorization_machine,
     "op3_lsh_forest_near_duplicates": neardup.op3_lsh_forest_near_duplicates,
     "op6_kd_tree_shards": sharding.op6_kd_tree_shards,
+    "op8_pii_weak_supervision": private.op8_pii_weak_supervision,
     "op9_pack_windows": packing.op9_pack_windows,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
