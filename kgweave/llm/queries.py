@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, neardup, packing, private, sharding, toxicity
+from . import fingerprints, html, mixing, neardup, packing, private, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity_factorization_machine": toxicity.op1_toxicity_factorization_machine,
     "op3_lsh_forest_near_duplicates": neardup.op3_lsh_forest_near_duplicates,
     "op4_simhash_fingerprints": fingerprints.op4_simhash_fingerprints,
+    "op5_html_main_text": html.op5_html_main_text,
     "op6_kd_tree_shards": sharding.op6_kd_tree_shards,
     "op8_pii_weak_supervision": private.op8_pii_weak_supervision,
     "op9_pack_windows": packing.op9_pack_windows,
