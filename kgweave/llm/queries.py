@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html, mixing, neardup, packing, private, sharding, toxicity
+from . import fingerprints, html, language, mixing, neardup, packing, private, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity_factorization_machine": toxicity.op1_toxicity_factorization_machine,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash_fingerprints": fingerprints.op4_simhash_fingerprints,
     "op5_html_main_text": html.op5_html_main_text,
     "op6_kd_tree_shards": sharding.op6_kd_tree_shards,
+    "op7_language_bigru": language.op7_language_bigru,
     "op8_pii_weak_supervision": private.op8_pii_weak_supervision,
     "op9_pack_windows": packing.op9_pack_windows,
     "op10_mix_sources": mixing.op10_mix_sources,
