@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html, language, mixing, neardup, packing, private, sharding, toxicity
+from . import fingerprints, html, jpeg, language, mixing, neardup, packing, private, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity_factorization_machine": toxicity.op1_toxicity_factorization_machine,
+    "op2_progressive_jpeg_media": jpeg.op2_progressive_jpeg_media,
     "op3_lsh_forest_near_duplicates": neardup.op3_lsh_forest_near_duplicates,
     "op4_simhash_fingerprints": fingerprints.op4_simhash_fingerprints,
     "op5_html_main_text": html.op5_html_main_text,

@@ -185,12 +185,11 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     machine = fit(docs, table(spark, sf_dir, "labels"))
     shared = spark.sparkContext.broadcast((machine.bias, machine.table))
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Machine(*shared.value)
-        parts = [m.score([terms(t) for t in texts.iloc[k : k + 64]]) < 0.5 for k in range(0, len(texts), 64)]
-        return pd.Series(np.concatenate(parts) if parts else np.empty(0, bool))
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            clean = [m.score([terms(t) for t in texts[k : k + 64]]) < 0.5 for k in range(0, len(texts), 64)]
+            yield batch.filter(pa.array(np.concatenate(clean))) if clean else batch
 
-    return docs.where(clean("text"))
+    return docs.mapInArrow(run, docs.schema)
