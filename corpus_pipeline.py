@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgweave.llm import mixing
 from kgweave.llm.common import stash, table
+from kgweave.llm.mixing import stage_mix
+from kgweave.llm.neardup import stage_near_dedup
+from kgweave.llm.packing import stage_pack
+from kgweave.llm.private import stage_pii
+from kgweave.llm.toxicity import stage_toxicity
 
-STAGES = [("mix", mixing.stage_mix)]
+STAGES = [
+    ("toxicity", stage_toxicity),
+    ("near_dedup", stage_near_dedup),
+    ("pii", stage_pii),
+    ("mix", stage_mix),
+    ("pack", stage_pack),
+]
 
-#: The model stages can't be said in SQL; tests hold the pipeline against a brute-force version.
+#: The trained stages and the packing can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
