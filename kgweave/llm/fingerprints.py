@@ -4,9 +4,10 @@ A text's terms are its pairs of neighbouring words (the last word stands alone),
 1 to 4 by its length. A term's 128 hash bits vote with its weight, once for each time it occurs;
 a fingerprint bit is set where the votes for 1 outweigh the others.
 
-All 128 counts come from one pass of sums: bit i and bit i + 32 of a 64-bit hash are the two 32-bit
-lanes of (hash >>> i) & 0x0000000100000001, so 64 sums of longs hold every count, for texts of up to
-2 ** 30 words, within generated code and map-side aggregation.
+All 128 counts come from one pass of sums: bits i, i + 16, i + 32 and i + 48 of a 64-bit hash are the
+four 16-bit lanes of (hash >>> i) & 0x0001000100010001, so 32 sums of longs hold every count of a
+chunk of CHUNK words, within generated code and map-side aggregation. Chunks of a text are added up
+afterwards; all but very long texts have one.
 
 Fingerprints within a Hamming radius r agree on one of r + 1 blocks at least; a table for each
 block, the block's bits permuted to the front, finds all of them by equality.
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import BLANKS, stash, table, utf8
 
 BITS = 128
-LANES = 0x0000000100000001
-LOW = 0xFFFFFFFF
+LANES, LOW = 0x0001000100010001, 0xFFFF
+#: 4 votes at most for each word stay under 2 ** 16.
+CHUNK = 16_000
 RADIUS = 3
 #: Queries of the neighbour search: ids divisible by this, against all rows.
 QUERY_STEP = 50
@@ -29,27 +31,34 @@ SEED = 7
 
 
 def terms_of(text: Column) -> Column:
-    """Array of (hash, weight), one for each word."""
-    words = F.filter(F.split(text, f"[{BLANKS}]+"), lambda w: w != "")
-    rest = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+    """Array of longs, one for each word: the pair's hash, with weight - 1 in the last two bits."""
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    words = F.split(bare, f"[{BLANKS}]+")
+    rest = F.slice(words, F.lit(2), F.size(words))
     size = lambda w: F.coalesce(F.octet_length(w), F.lit(0))
-    return F.zip_with(words, rest, lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), F.least((size(a) + size(b)) / 5, F.lit(3)).cast("long").alias("w")))
+    weight = lambda a, b: F.least((size(a) + size(b)) / 5, F.lit(3)).cast("long")
+    pairs = F.zip_with(words, rest, lambda a, b: F.xxhash64(a, b).bitwiseAND(F.lit(-4)).bitwiseOR(weight(a, b)))
+    return F.when(bare != "", pairs)
 
 
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, fp_a, fp_b (longs; the 128 bits) for rows with a column text; keys must tell rows apart."""
-    each = texts.select(*keys, F.explode_outer(terms_of(F.col("text"))).alias("t"))
-    each = each.select(*keys, F.col("t.h").alias("a"), F.xxhash64("t.h", F.lit(SEED)).alias("b"), (F.col("t.w") + 1).alias("w"))
+    each = texts.select(*keys, F.posexplode_outer(terms_of(F.col("text"))).alias("at", "t"))
+    each = each.select(*keys, F.coalesce(F.floor(F.col("at") / CHUNK), F.lit(0)).alias("chunk"), F.xxhash64("t").alias("a"), F.xxhash64("t", F.lit(SEED)).alias("b"), (F.col("t").bitwiseAND(F.lit(3)) + 1).alias("w"))
     lane = lambda h, i: F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(LANES)) * F.col("w"))
-    sums = each.groupBy(*keys).agg(F.sum("w").alias("all"), *[lane(h, i).alias(f"{h}{i}") for h in ("a", "b") for i in range(32)])
+    sums = each.groupBy(*keys, "chunk").agg(F.sum("w").alias("all"), *[lane(h, i).alias(f"{h}{i}") for h in ("a", "b") for i in range(16)])
+    counts = lambda h: F.array(*[F.coalesce(F.col(f"{h}{i}"), F.lit(0)) for i in range(16)])
+    whole = sums.groupBy(*keys).agg(F.coalesce(F.sum("all"), F.lit(0)).alias("all"), F.collect_list(counts("a")).alias("a"), F.collect_list(counts("b")).alias("b"))
 
     def bits(h: str) -> Column:
-        counts = F.array(*[F.col(f"{h}{i}") for i in range(32)])
-        one = lambda on, at: F.when(on * 2 > F.col("all"), F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
-        both = F.transform(counts, lambda s, i: one(s.bitwiseAND(F.lit(LOW)), i).bitwiseOR(one(F.shiftrightunsigned(s, 32), i + 32)))
-        return F.coalesce(F.aggregate(both, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y)), F.lit(0).cast("long"))
+        def bit(place: Column) -> Column:
+            lane_of = lambda c: F.call_function("shiftrightunsigned", F.get(c, F.pmod(place, F.lit(16))), F.floor(place / 16).cast("int") * 16).bitwiseAND(F.lit(LOW))
+            on = F.aggregate(h, F.lit(0).cast("long"), lambda total, c: total + lane_of(c))
+            return F.when(on * 2 > F.col("all"), F.call_function("shiftleft", F.lit(1).cast("long"), place)).otherwise(F.lit(0).cast("long"))
 
-    return sums.select(*keys, bits("a").alias("fp_a"), bits("b").alias("fp_b"))
+        return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+
+    return whole.select(*keys, bits("a").alias("fp_a"), bits("b").alias("fp_b"))
 
 
 def as_text(a: Column, b: Column) -> Column:
@@ -106,7 +115,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     document is itself. An empty table gives no rows. Other columns are ignored.
     """
     lowest = -(1 << 63)
-    base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    # Both uses of the texts read the same columns, so that they are dealt once.
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("h", F.xxhash64("text"))
     nth = F.row_number().over(Window.partitionBy("k").orderBy("h"))
     whole = base.withColumn("nth", nth)
@@ -115,16 +125,16 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     # The key alone is the join's key, so that texts are dealt once; nth only tells repeated ids apart.
     next_of = links.toDF("l_k", "l_nth", "next_k", "next_nth")
     this = whole.join(next_of, (F.col("k") == F.col("l_k")) & (F.col("nth") - F.col("l_nth") == 0))
-    this = this.select("doc_id", "k", "nth", F.length("text").alias("n"), "next_k", "next_nth", "text")
+    this = this.select("k", "nth", F.length("text").alias("n"), "next_k", "next_nth", "text")
     needs = this.select(F.col("k").alias("g_k"), F.col("nth").alias("g_nth"), F.col("next_k").alias("w_k"), F.col("next_nth").alias("w_nth"), F.floor(F.col("n") / 2).cast("int").alias("half"))
     given = needs.join(whole.select("k", "nth", "text"), (F.col("w_k") == F.col("k")) & (F.col("w_nth") - F.col("nth") == 0))
     given = given.select("g_k", "g_nth", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("tail"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.floor(F.col("n") / 2).cast("int")), F.col("tail"))
     copies = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), edited.alias("text")))
-    both = this.join(given, (F.col("k") == F.col("g_k")) & (F.col("nth") - F.col("g_nth") == 0)).select("doc_id", "k", "nth", "n", "next_k", "next_nth", F.explode(copies).alias("v"))
-    keys = ["doc_id", "k", "nth", "n", "next_k", "next_nth", "which", "sha"]
-    rows = both.select(*keys[:6], F.col("v.which").alias("which"), F.when(F.col("v.which") == 1, F.sha2(utf8(F.col("v.text")), 256)).alias("sha"), F.col("v.text").alias("text"))
-    fps = stash(fingerprints(rows, keys), "fps")
+    both = this.join(given, (F.col("k") == F.col("g_k")) & (F.col("nth") - F.col("g_nth") == 0)).select("k", "nth", "n", "next_k", "next_nth", F.explode(copies).alias("v"))
+    keys = ["k", "nth", "n", "next_k", "next_nth", "which", "sha"]
+    rows = both.select(*keys[:5], F.col("v.which").alias("which"), F.when(F.col("v.which") == 1, F.sha2(utf8(F.col("v.text")), 256)).alias("sha"), F.col("v.text").alias("text"))
+    fps = stash(fingerprints(rows, keys).withColumn("doc_id", F.when(F.col("k") > lowest, F.col("k"))), "fps")
     mine, new = fps.where("which = 0"), fps.where("which = 1").select("k", "nth", F.col("fp_a").alias("e_a"), F.col("fp_b").alias("e_b"), F.col("sha").alias("e_sha"))
     after = mine.select(F.col("k").alias("next_k"), F.col("nth").alias("next_nth"), F.col("fp_a").alias("n_a"), F.col("fp_b").alias("n_b"))
     found = within_radius(mine.where(F.col("doc_id") % QUERY_STEP == 0), mine).where("q_a <> fp_a OR q_b <> fp_b")
