@@ -1,7 +1,7 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-A signature has TREES * LEAST values. Each tree is the list of all signatures in its own order: tree t
-reads the values from place t * LEAST on, round the end. Documents that stand next to each other in
+A signature has VALUES values, of which the forest uses TREES * LEAST. Each tree is the list of all
+signatures in its own order: tree t reads the values from place t * LEAST on, round the end. Documents that stand next to each other in
 a tree share the longest prefixes; those sharing LEAST values or more are candidates. No depth is
 fixed for all: where a prefix is shared by few documents it is used as it is, where it is shared by
 many it is taken deeper, region by region, up to DEEPEST values.
@@ -34,15 +34,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stash, table
+from .common import claim, discard, ship, stash, table
 
 SHINGLE = 5
 TREES, LEAST, DEEPEST = 24, 3, 8
-VALUES = TREES * LEAST
+#: Values of a signature; the trees use the first TREES * LEAST, sketches and estimates all.
+VALUES = 128
 BLOCK = 256
 MOST_PAIRS = 4096
-#: Pairs whose signatures agree in less than this part can't reach 0.75 (off by 4.9 standard deviations).
-LEAST_AGREEMENT = 0.5
+#: Pairs whose signatures agree in less than this part can't reach 0.75 (off by 4.4 standard deviations).
+LEAST_AGREEMENT = 0.58
+#: Sketches hold four bits of each value. At 0.75, 30 of them differ on average; pairs with more than this
+#: (3.5 standard deviations) are left out.
+MOST_UNLIKE = 46
+SKETCH = [f"s{k}" for k in range(VALUES // 16)]
+GROUPS, LEVELS = 128, 4
+PROFILE = [f"p{k}" for k in range(GROUPS * LEVELS // 64)]
 #: Up to so many ids (8 bytes each) the list of documents to be compared is broadcast; beyond it, joined.
 MOST_BROADCAST = 1_000_000
 
@@ -54,7 +61,7 @@ _PLACE, _SCALE, _SHIFT, _LENGTH = _ODD(SHINGLE), _ODD(VALUES), _ODD(VALUES), _OD
 class WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
-    MOST = 1_000_000
+    MOST = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -79,7 +86,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     n = len(h) - SHINGLE + 1
     if n < 1:
-        return mixed((h * _PLACE[: len(h)]).sum(keepdims=True) + np.uint64(len(h)) * _LENGTH)
+        return mixed((h * _PLACE[: len(h)]).sum(keepdims=True) + np.full(1, len(h), np.uint64) * _LENGTH)
     return np.unique(mixed(reduce(np.add, (h[k : k + n] * _PLACE[k] for k in range(SHINGLE)))))
 
 
@@ -92,6 +99,32 @@ def signature(shingles: np.ndarray) -> bytes:
     return (least >> np.uint64(32)).astype(">u4").tobytes()
 
 
+def sketch(sig: bytes) -> list[int]:
+    """The lowest four bits of all values, in signed 64-bit integers."""
+    low = np.frombuffer(sig, np.uint8)[3::4] & 15
+    return (low[::2] << 4 | low[1::2]).view(np.int64).tolist()
+
+
+def may_link(x: tuple, y: tuple) -> bool:
+    """Whether two (node, n, *SKETCH) can be linked; as may_link_columns()."""
+    if 75 * max(x[1], y[1]) > 100 * min(x[1], y[1]):
+        return False
+    unlike = 0
+    for a, b in zip(x[2:], y[2:]):
+        d = (a ^ b) & (2**64 - 1)
+        unlike += ((d | d >> 1 | d >> 2 | d >> 3) & 0x1111111111111111).bit_count()
+    return unlike <= MOST_UNLIKE
+
+
+def may_link_columns(x: str, y: str) -> Column:
+    def unlike(k: str) -> Column:
+        d = F.col(f"{x}_{k}").bitwiseXOR(F.col(f"{y}_{k}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return F.expr(f"75 * greatest({x}_n, {y}_n) <= 100 * least({x}_n, {y}_n)") & (reduce(Column.__add__, map(unlike, SKETCH)) <= MOST_UNLIKE)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < 75 * max(len(a), len(b)):
         return False
@@ -100,9 +133,10 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (hex of the set's 128-bit hash; null if empty), sig."""
+    """doc_id, n_shingles, set_key (hex of the set's 128-bit hash; null if empty), sig, and the sketch's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("neardup", _WORDS.clear)
         for batch in batches:
             sizes, keys, sigs = [], [], []
             for text in batch.column(1).to_pylist():
@@ -110,15 +144,17 @@ def signed(docs: DataFrame) -> DataFrame:
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+            parts = [sketch(s) if s else [None] * len(SKETCH) for s in sigs]
+            sketches = [pa.array([p[k] for p in parts], pa.int64()) for k in range(len(SKETCH))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, pa.binary()), *sketches], names=["doc_id", "n_shingles", "set_key", "sig", *SKETCH])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key string, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key string, sig binary" + "".join(f", {k} long" for k in SKETCH))
 
 
 def tree_rows(classes: DataFrame) -> DataFrame:
     """One row for each class and tree: tree, path (the first DEEPEST values), node."""
-    twice = F.concat("sig", "sig")
-    trees = classes.select("node", twice.alias("twice"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    own = F.expr(f"substring(sig, 1, {4 * TREES * LEAST})")
+    trees = classes.select("node", F.concat(own, own).alias("twice"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     return trees.select("tree", F.expr(f"substring(twice, tree * {4 * LEAST} + 1, {4 * DEEPEST})").alias("path"), "node")
 
 
@@ -137,10 +173,10 @@ def neighbours(rows: DataFrame) -> DataFrame:
     """Pairs a < b of the forest's sorted orders, over all trees, distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[int] = []
+        block: list[tuple] = []
         at, center, last = None, None, None
 
-        def pairs() -> Iterator[tuple[int, int]]:
+        def pairs() -> Iterator[tuple[tuple, tuple]]:
             nonlocal center, last
             least = min(block)
             if center is not None:
@@ -150,44 +186,97 @@ def neighbours(rows: DataFrame) -> DataFrame:
             yield from zip(block, block[1:])
             center, last = least, block[-1]
 
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            found = list({(min(p), max(p)) for p in found if p[0] != p[1]})
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def out(found: list[tuple[tuple, tuple]]) -> pa.RecordBatch:
+            kept = list({(min(x[0], y[0]), max(x[0], y[0])) for x, y in found if x[0] != y[0] and may_link(x, y)})
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for key, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found: list[tuple[tuple, tuple]] = []
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != at or len(block) == BLOCK:
                     if block:
                         found += pairs()
                     if key != at:
                         at, center, last = key, None, None
                     block = []
-                block.append(node)
+                block.append(tuple(row))
             yield out(found)
         if block:
             yield out(list(pairs()))
 
     ordered = rows.repartitionByRange("region", "path", "node").sortWithinPartitions("region", "path", "node")
-    return ordered.select("region", "node").mapInArrow(run, "a long, b long").distinct()
+    return ordered.select("region", "node", "n", *SKETCH).mapInArrow(run, "a long, b long").distinct()
+
 
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of the documents (doc_id, text) that are listed in nodes."""
+    few = nodes.count() <= MOST_BROADCAST
+    return docs.select(F.col("doc_id").alias("node"), "text").join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
 
-def between_components(rows: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Pairs of different components within the regions, each region as deep as MOST_PAIRS asks for."""
-    rows = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("tree", "path", "node", "comp")
+
+def profiles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, and what bounds its overlap with others of the nodes: PROFILE, rest.
+
+    Shingles that no other of the nodes has count for nothing. The others are counted in GROUPS by their
+    hash; a count of up to LEVELS is that many bits, so that the number of bits two profiles have in
+    common is the sum of the lesser counts, which their sets' overlap can't exceed; rest counts what
+    is above LEVELS.
+    """
+
+    def each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("neardup", _WORDS.clear)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+                node = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(node)], names=["h", "node"])
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for node, text, own in zip(*(c.to_pylist() for c in batch.columns)):
+                shared = np.setdiff1d(shingle_set(text), np.array(own or [], np.int64).view(np.uint64), assume_unique=True)
+                counts = np.bincount((shared & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+                bits = np.packbits(counts[:, None] > np.arange(LEVELS)).view(np.int64)
+                rows.append((node, *bits.tolist(), int(np.maximum(counts - LEVELS, 0).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2 + len(PROFILE))], names=["node", *PROFILE, "rest"])
+
+    texts = texts_of(nodes, docs)
+    each = texts.mapInArrow(each_shingle, "h long, node long").groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    own = each.where("c = 1").groupBy("node").agg(F.collect_list("h").alias("own"))
+    return texts.join(own, "node", "left").mapInArrow(profile, "node long" + "".join(f", {k} long" for k in (*PROFILE, "rest"))).dropDuplicates(["node"])
+
+
+def unresolved(rows: DataFrame, depth: int) -> DataFrame:
+    """Rows of the regions that hold several components: region, its largest component (top), and how many pairs it takes to compare all others with the whole region."""
+    keyed = rows.withColumn("region", region(depth))
+    each = keyed.groupBy("region", "comp").agg(F.count("*").alias("m"))
+    whole = each.groupBy("region").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("top"))
+    whole = whole.where("m > top.m").select("region", F.col("top.comp").alias("top"), ((F.col("m") - F.col("top.m")) * F.col("m")).alias("pairs"))
+    return keyed.join(whole, "region")
+
+
+def between_components(rows: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of different components within the regions, each region as deep as MOST_PAIRS asks for.
+
+    Pairs whose profiles show that they have less in common than the 3 / 7 of both sizes that a link
+    needs are left out.
+    """
+    rows = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = stash(unresolved(rows, LEAST), "regions")
+    rows = rows.join(profiles(stash(rows.select("node").distinct(), "ids"), docs), "node")
+    common = reduce(Column.__add__, [F.bit_count(F.col(f"x_{k}").bitwiseAND(F.col(f"y_{k}"))) for k in PROFILE]) + F.least("x_rest", "y_rest")
     found = []
     for depth in range(LEAST, DEEPEST + 1):
-        keyed = rows.withColumn("region", region(depth))
-        each = keyed.groupBy("region", "comp").agg(F.count("*").alias("n"))
-        whole = each.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
-        # With `top` the largest component, all others' members are compared with the whole region.
-        whole = whole.where("n > top.n").select("region", F.col("top.comp").alias("top"), ((F.col("n") - F.col("top.n")) * F.col("n")).alias("pairs"))
-        keyed = stash(keyed.join(whole, "region"), "regions")
-        now = keyed if depth == DEEPEST else keyed.where(F.col("pairs") <= MOST_PAIRS)
-        few = now.where("comp <> top").select("region", F.col("node").alias("x"), F.col("comp").alias("x_comp"))
-        met = few.join(now.select("region", F.col("node").alias("y"), F.col("comp").alias("y_comp")), "region").where("x_comp <> y_comp")
-        found.append(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        rows = keyed.where(F.col("pairs") > MOST_PAIRS).drop("region", "pairs", "top")
+        if depth > LEAST:
+            rows = unresolved(rows.drop("region", "top", "pairs"), depth)
+        rows = stash(rows, "regions")
+        now = rows if depth == DEEPEST else rows.where(F.col("pairs") <= MOST_PAIRS)
+        side = lambda df, c: df.select("region", F.col("node").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("comp", "n", "rest", *PROFILE, *SKETCH)])
+        met = side(now.where("comp <> top"), "x").join(side(now, "y"), "region").where("x_comp <> y_comp").where(common * 7 >= (F.col("x_n") + F.col("y_n")) * 3)
+        found.append(met.where(may_link_columns("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        rows = rows.where(F.col("pairs") > MOST_PAIRS)
         if depth < DEEPEST and rows.isEmpty():
             break
     return reduce(DataFrame.unionByName, found).distinct()
@@ -203,6 +292,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 yield batch.select([0, 1]).filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("neardup", _WORDS.clear)
         sets: dict[int, np.ndarray] = {}
 
         def of(doc: int, text: str) -> np.ndarray:
@@ -220,8 +310,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
     near = stash(near.mapInArrow(agree, "a long, b long"), "near")
     ids = stash(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "ids")
-    few = ids.count() <= MOST_BROADCAST
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(F.broadcast(ids) if few else ids, "node", "left_semi")
+    texts = texts_of(ids, docs)
     both = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(check, "a long, b long").distinct()
 
@@ -260,18 +349,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked with nothing: component_id null, kept. An empty table gives no rows. Other columns are
     ignored.
     """
+    ship(docs.sparkSession)
     rows = stash(signed(docs), "signed")
     full = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     least = full.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     member = full.join(least, "set_key")
-    classes = stash(member.where("doc_id = node").select("node", "sig").dropDuplicates(["node", "sig"]), "classes")
+    classes = stash(member.where("doc_id = node").select("node", "sig", *SKETCH, F.col("n_shingles").alias("n")).dropDuplicates(["node", "sig"]), "classes")
     # Rows with one doc_id and different texts are joined from the start, as classes are by their least id.
     same = member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    forest = stash(crowded(tree_rows(classes)), "forest")
+    forest = stash(crowded(tree_rows(classes)).join(classes.drop("sig"), "node"), "forest")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     links = stash(confirmed(neighbours(forest), classes, text), "links")
     first = stash(components(links), "components")
-    more = confirmed(stash(between_components(forest, first), "between"), classes, text)
+    more = confirmed(stash(between_components(forest, first, text), "between"), classes, text)
     labels = components(links.unionByName(more).unionByName(same))
     out = rows.join(labels, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("comp", "doc_id")
