@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,16 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Called where an operator's task starts in a Python worker: what other operators remember there is dropped."""
+    for other in [k for k in _HELD if k != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = clear
+
+
 def utf8(text: Column) -> Column:
     """The text's bytes; a null text counts as empty."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")

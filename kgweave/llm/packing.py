@@ -17,7 +17,6 @@ Where segments end depends on the rows alone, not on how Arrow cuts them into ba
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import deque
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import claim, ship, table
 
 WINDOW = 2048
 END_ID = 1
@@ -42,8 +41,8 @@ SEGMENT = 1 << 20
 REMEMBERED = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: A stop or comma alone between a letter or digit and a blank.
-_MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
+#: Marks that never join letters before them (an apostrophe may).
+MARKS = ".,;:!?|$%&*#"
 _LOADED: dict[str, "WordTokenizer"] = {}
 
 
@@ -76,18 +75,30 @@ class WordTokenizer:
             self.ends[i] = word.endswith("</w>")
 
     def learn(self, new: list[str]) -> None:
-        """Remember the ids of runs. Letters alone are one word, which ends with a word-end id: such runs go through in one text."""
-        plain = [w for w in new if w.isalpha()]
+        """Remember the ids of runs. Letters with marks behind are two words; letters alone are one, which ends
+        with a word-end id, so that all of those go through in one text."""
+        known, joined, single = self.known, [], set()
+        for w in new:
+            word = w.rstrip(MARKS)
+            if len(word) < len(w) and word.isalpha():
+                mark = w[len(word) :]
+                joined.append((w, word, mark))
+                single.update(x for x in (word, mark) if x not in known)
+            else:
+                single.add(w)
+        plain = [w for w in single if w.isalpha()]
         ids = np.array(self.inner.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.uint16)
         after = np.flatnonzero(self.ends[ids]) + 1
         if len(after) == len(plain):
             raw, stop = ids.tobytes(), (after * 2).tolist()
-            self.known.update(zip(plain, [raw[a:b] for a, b in zip([0, *stop], stop)]))
-            new = [w for w in new if not w.isalpha()]
-        self.known.update(zip(new, [array("H", e.ids).tobytes() for e in self.inner.encode_batch_fast(new, add_special_tokens=False)]))
+            known.update(zip(plain, [raw[a:b] for a, b in zip([0, *stop], stop)]))
+            single = [w for w in single if not w.isalpha()]
+        single = list(single)
+        known.update(zip(single, [array("H", e.ids).tobytes() for e in self.inner.encode_batch_fast(single, add_special_tokens=False)]))
+        known.update((w, known[word] + known[mark]) for w, word, mark in joined)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        runs = [_MARK.sub(r" \1", t or "").replace("\n", " ").split(" ") for t in texts]
+        runs = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
@@ -172,6 +183,7 @@ def pack(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) -> Da
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _LOADED.clear)
         tokenizer = load(path)
         number = TaskContext.get().partitionId() << 33
         held: list[tuple[int | None, np.ndarray]] = []

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import claim, ship, table
 
 BITS, FACTORS = 18, 8
 STARTS = (5, 6, 7)
@@ -43,7 +43,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 class TermHashes(dict):
     """The places of a word's terms as bytes, remembered."""
 
-    MOST = 500_000
+    MOST = 300_000
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.MOST:
@@ -166,6 +166,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", _TERMS.clear)
         m = Machine(*shared.value)
         for batch in batches:
             texts = batch.column(2).to_pylist()
@@ -186,6 +187,7 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     shared = spark.sparkContext.broadcast((machine.bias, machine.table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", _TERMS.clear)
         m = Machine(*shared.value)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
