@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as E
 from ..functions.language import Step, parse_rule
-from ..operators import analysis, answering, dependencies, paths, scoring, support, training
+from ..operators import analysis, answering, dependencies, paths, reports, scoring, support, training
 from ..sources import graph
 from .base import WALK, Base
 from .sql import query
@@ -539,3 +539,137 @@ def train_rule_weights(b: Base):
 @plan()
 def sampled_paths(b: Base):
     return paths.sampled_walks(b.graph, WALK, 20)
+
+
+# Reports
+
+
+@plan("""SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY v DESC, y) AS rank FROM (SELECT x, y, list_sort(list(evidence), 'DESC') AS v FROM fired GROUP BY x, y)""")
+def rank_vectors(b: Base):
+    return reports.vector_ranks(b.fired).select("x", "y", C("rank").cast("long").alias("rank"))
+
+
+@plan("""SELECT x, y, round(top, 6) AS top, round(bonus, 6) AS bonus FROM (SELECT t.x, t.y, t.evidence AS top, coalesce(max(d.lift + g.evidence), 0) AS bonus
+    FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY evidence DESC, rule_id) AS nth FROM mfired) t
+    LEFT JOIN ((SELECT a, b, lift FROM deps WHERE lift > 0 UNION ALL SELECT b, a, lift FROM deps WHERE lift > 0) d JOIN mfired g ON g.rule_id = d.b) ON d.a = t.rule_id AND g.x = t.x AND g.y = t.y
+    WHERE t.nth = 1 GROUP BY 1, 2, 3)""")
+def agg_max_dep(b: Base):
+    return reports.best_with_partners(b.mfired, b.deps, 1).select("x", "y", r6("top"), r6("bonus"))
+
+
+@plan("""SELECT x, rules, coalesce(linked, 0) AS linked, coalesce(pairs, 0) AS pairs FROM (SELECT x, count(DISTINCT rule_id) AS rules FROM mfired GROUP BY x)
+    LEFT JOIN (SELECT x, count(DISTINCT r) AS linked FROM (SELECT f.x, unnest([d.a, d.b]) AS r FROM mfired f JOIN deps d ON d.a = f.rule_id JOIN mfired g ON g.x = f.x AND g.y = f.y AND g.rule_id = d.b) GROUP BY x) USING (x)
+    LEFT JOIN (SELECT x, count(*) AS pairs FROM (SELECT DISTINCT f.x, d.a, d.b FROM mfired f JOIN deps d ON d.a = f.rule_id JOIN mfired g ON g.x = f.x AND g.y = f.y AND g.rule_id = d.b) GROUP BY x) USING (x)""")
+def query_coverage(b: Base):
+    return reports.query_coverage(b.mfired, b.deps)
+
+
+@plan("SELECT x, y, round(rr_before, 6) AS max, round(rr_after, 6) AS noisyor FROM changes")
+def stages_wide(b: Base):
+    both = b.ranks_best.withColumn("stage", F.lit("max")).unionByName(b.ranks_noisy.withColumn("stage", F.lit("noisyor")))
+    return reports.stages_wide(both, ["max", "noisyor"]).select("x", "y", r6("max"), r6("noisyor"))
+
+
+@plan(f"SELECT config, round(avg(mrr), 6) AS macro, count(*) AS groups FROM ({RUNS}) GROUP BY config")
+def macro_average(b: Base):
+    both = b.ranks_best.withColumn("config", F.lit("max")).unionByName(b.ranks_noisy.withColumn("config", F.lit("noisyor")))
+    return reports.macro(both.withColumn("rr", answering.reciprocal(C("rank"))), "rr", "y", "config").select("config", r6("macro"), "groups")
+
+
+@plan("SELECT y, CAST(NULL AS DOUBLE) AS mrr, CAST(NULL AS DOUBLE) AS found FROM ranks_best WHERE false")
+def inconsistent_metrics(b: Base):
+    return reports.inconsistent(b.ranks_best, answering.rank_metrics(b.ranks_best, "y"), "y")
+
+
+CAPPED = """SELECT {cap}::DOUBLE AS cap, round((SELECT avg(CASE WHEN -ln(1 - support / (body_size + 3)) >= {cap} THEN 1 ELSE 0 END) FROM metrics), 6) AS saturated,
+    count(*) FILTER (n > 0 AND o > 0) AS "both", round(count(*) FILTER (n > 0 AND o > 0) / count(*) FILTER (n > 0 OR o > 0), 6) AS jaccard, count(*) FILTER (sign(n) <> sign(o)) AS flipped
+    FROM (SELECT round(least(-ln(1 - p.support / (p.body + 3)), {cap}) - least(u.e, {cap}) - least(v.e, {cap}), 9) AS n, round(least(-ln(1 - p.support / (p.body + 3)), 7) - u.e - v.e, 9) AS o
+      FROM pairs p JOIN ev3 u ON u.rule_id = p.a JOIN ev3 v ON v.rule_id = p.b)"""
+
+
+@plan(f"{CAPPED.format(cap='0.2')} UNION ALL {CAPPED.format(cap='0.5')}")
+def evidence_cap_stability(b: Base):
+    return reports.capped_stability(b.pairs, b.metrics, (0.2, 0.5)).select("cap", r6("saturated"), "both", r6("jaccard"), "flipped")
+
+
+@plan("SELECT rule_id, round((conf - (SELECT avg(conf) FROM metrics)) / (SELECT stddev_pop(conf) FROM metrics), 6) AS z FROM metrics")
+def conf_z_scores(b: Base):
+    return reports.z_scores(b.metrics.select("rule_id", "conf"), "conf").select("rule_id", r6("z"))
+
+
+@plan("""SELECT nth AS n, round(mean, 6) AS mean FROM (SELECT row_number() OVER o AS nth, avg(smooth) OVER (o ROWS UNBOUNDED PRECEDING) AS mean FROM metrics WINDOW o AS (ORDER BY body_size DESC, rule_id))
+    WHERE nth * 5 >= (SELECT count(*) FROM metrics) ORDER BY mean DESC, nth LIMIT 1""")
+def dense_prefix(b: Base):
+    return reports.dense_prefix(b.metrics, "body_size", "smooth", "rule_id").select("n", r6("mean"))
+
+
+@plan(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont({c}::DOUBLE, 0.05), 6) AS q05, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS q50, round(quantile_cont({c}::DOUBLE, 0.95), 6) AS q95 FROM metrics" for c in ("body_size", "support", "conf")))
+def feature_ranges(b: Base):
+    return reports.ranges(b.metrics, ("body_size", "support", "conf")).select("feature", r6("q05"), r6("q50"), r6("q95"))
+
+
+@plan("""SELECT rule_id, round((u + v) / 2, 6) AS composite FROM (SELECT rule_id, (rank() OVER (ORDER BY conf) + (count(*) OVER (PARTITION BY conf) - 1) / 2 - 1) / (count(*) OVER () - 1) AS u,
+    (rank() OVER (ORDER BY support) + (count(*) OVER (PARTITION BY support) - 1) / 2 - 1) / (count(*) OVER () - 1) AS v FROM metrics)""")
+def composite_percentiles(b: Base):
+    return reports.composite(b.metrics, ("conf", "support"), "rule_id").select("rule_id", r6("composite"))
+
+
+@plan("SELECT x, y, place FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, y) AS place FROM best) SEMI JOIN gold USING (x, y)")
+def position_ranks(b: Base):
+    return reports.position_ranks(b.best, b.gold).select("x", "y", C("place").cast("long").alias("place"))
+
+
+@plan("""SELECT CASE WHEN nth IS NULL THEN 'only_a' ELSE 'both' END AS side, count(*) AS n FROM catalog LEFT JOIN bodies USING (rule_id) GROUP BY 1""")
+def rule_set_diff(b: Base):
+    return reports.rule_set_diff(b.catalog, b.catalog.join(b.bodies.select("rule_id"), "rule_id"))
+
+
+@plan("SELECT CASE WHEN kind = 'path' THEN 3 ELSE 1 END AS length, count(*) AS n FROM catalog GROUP BY 1")
+def rule_lengths(b: Base):
+    return b.catalog.groupBy(reports.body_length(C("rule")).alias("length")).agg(F.count("*").alias("n"))
+
+
+@plan("""SELECT kind, count(*) FILTER (l = 0) AS "0", count(*) FILTER (l = 1) AS "1", count(*) FILTER (l = 2) AS "2", count(*) FILTER (l = 3) AS "3" FROM (
+    SELECT kind, CASE WHEN abs(conf - smooth) = 0 THEN 0 WHEN abs(conf - smooth) < 0.1 THEN 1 WHEN abs(conf - smooth) < 0.2 THEN 2 ELSE 3 END AS l FROM metrics JOIN catalog USING (rule_id)) GROUP BY kind""")
+def match_matrix(b: Base):
+    got = b.metrics.join(b.catalog.select("rule_id", "kind"), "rule_id").withColumn("level", E.match_level(C("conf"), C("smooth")))
+    return got.groupBy("kind").pivot("level", [0, 1, 2, 3]).agg(F.count("rule_id")).na.fill(0)
+
+
+@plan("SELECT grouping, pos, norm FROM (VALUES ('rd'), ('r2d3'), ('r3d6')) a(grouping), (VALUES ('auto_sqrt'), ('auto_ratio')) b(pos), (VALUES ('none'), ('sqrt')) c(norm)")
+def config_grid(b: Base):
+    return reports.config_grid(b.spark, grouping=("rd", "r2d3", "r3d6"), pos=("auto_sqrt", "auto_ratio"), norm=("none", "sqrt"))
+
+
+def features(b: Base) -> DataFrame:
+    rr = b.ranks_noisy.groupBy("x").agg(F.avg(answering.reciprocal(C("rank"))).alias("rr"))
+    return analysis.query_features(b.noisy, b.fired).join(rr, "x")
+
+
+@plan()
+def formula_search(b: Base):
+    return reports.formula_search(features(b), ("margin", "entropy"), "rr").select("w_margin", "w_entropy", "n", r6("gain"))
+
+
+@plan()
+def forest_selector(b: Base):
+    return reports.forest_selector(features(b), ("candidates", "firings", "top", "margin", "entropy"), "rr", "x", folds=3, trees=10)
+
+
+@plan()
+def ridge_selector(b: Base):
+    return reports.ridge_selector(features(b), ("candidates", "firings", "top", "margin", "entropy"), "rr")
+
+
+@plan(f"SELECT u.y, CASE WHEN v.mrr > u.mrr THEN 'dependencies' ELSE 'rules' END AS final FROM (SELECT * FROM ({RUNS}) WHERE config = 'max') u JOIN (SELECT * FROM ({RUNS}) WHERE config = 'noisyor') v ON u.y = v.y")
+def stage_acceptance(b: Base):
+    one = answering.rank_metrics(b.ranks_best, "y").select(C("y").alias("rel"), "mrr")
+    two = answering.rank_metrics(b.ranks_noisy, "y").select(C("y").alias("rel"), "mrr")
+    return training.accepted(one, two).select(C("rel").alias("y"), "final")
+
+
+@plan("SELECT x, y, round(score + (SELECT avg(score) FROM best) - m, 6) AS calibrated FROM (SELECT *, avg(score) OVER (PARTITION BY y) AS m FROM noisy)")
+def calibrated_scores(b: Base):
+    mean = b.best.agg(F.avg("score").alias("true_mean"))
+    true_means = b.noisy.select("y").distinct().crossJoin(F.broadcast(mean))
+    return analysis.calibrated(b.noisy, "y", "score", true_means).select("x", "y", r6("calibrated"))
