@@ -46,8 +46,15 @@ def discard(df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+#: Texts go to Python workers in batches of so many bytes, where the session has no setting of its own.
+BATCH_BYTES, _OURS, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "8m", "67108864b"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once for each application, for operators that run Python there."""
+    """Make the session ready for operators that run Python on executors: bounded batches, and this package
+    sent to them, once for each application."""
+    if spark.conf.get(BATCH_BYTES, _OURS) == _DEFAULT:
+        spark.conf.set(BATCH_BYTES, _OURS)
     context, top = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if os.path.isdir(top) and not any("kgweave-code" in f for f in context.listFiles):
         path = os.path.join(tempfile.mkdtemp(prefix="kgweave-"), "kgweave-code.zip")
