@@ -86,4 +86,6 @@ def needs(text: str, found: list[str]) -> list[str]:
 
 def query(text: str) -> str:
     parts = [f"{n} AS ({CTES[n]})" for n in needs(text, [])]
-    return (f"WITH {', '.join(parts)} " if parts else "") + text
+    whole = (f"WITH {', '.join(parts)} " if parts else "") + text
+    # Rounding may leave a negative zero, which Spark's doesn't.
+    return re.sub(r"\bround\(", "0.0 + round(", whole)
