@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -19,12 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_DIR: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A folder of our own only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="kgweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN_DIR:
+            _OWN_DIR.append(tempfile.mkdtemp(prefix="kgweave-"))
+        found = _OWN_DIR[0]
     return found.rstrip("/")
 
 
@@ -73,8 +80,14 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 def claim(owner: str, clear: Callable[[], None]) -> None:
     """Called where an operator's task starts in a Python worker: what other operators remember there is dropped."""
-    for other in [k for k in _HELD if k != owner]:
+    others = [k for k in _HELD if k != owner]
+    for other in others:
         _HELD.pop(other)()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            # Free memory goes back to the system; where the C library can't, it is used again.
+            ctypes.CDLL(None).malloc_trim(0)
     _HELD[owner] = clear
 
 

@@ -61,7 +61,7 @@ _PLACE, _SCALE, _SHIFT, _LENGTH = _ODD(SHINGLE), _ODD(VALUES), _ODD(VALUES), _OD
 class WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
-    MOST = 400_000
+    MOST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

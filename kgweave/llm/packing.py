@@ -37,8 +37,9 @@ SENTENCE_PENALTY, HARD_PENALTY = 6, 32
 #: In sentences of more than twice this many ids, places for hard cuts stand this far apart.
 HARD_STEP = 32
 SEGMENT = 1 << 20
-#: Words whose ids each Python worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+#: Words whose ids each Python worker remembers (about 200 bytes each); the memory is emptied when it is full.
+#: Among other stages, whose memory the executors hold as well, it is a fifth.
+REMEMBERED, REMEMBERED_AMONG_OTHERS = 1_000_000, 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Marks that never join letters before them (an apostrophe may).
@@ -97,9 +98,9 @@ class WordTokenizer:
         known.update(zip(single, [array("H", e.ids).tobytes() for e in self.inner.encode_batch_fast(single, add_special_tokens=False)]))
         known.update((w, known[word] + known[mark]) for w, word, mark in joined)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], remembered: int = REMEMBERED) -> list[np.ndarray]:
         runs = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > remembered:
             self.known.clear()
         known = self.known
         new = list(set(chain.from_iterable(runs)).difference(known))
@@ -172,7 +173,7 @@ def solve(docs: list[tuple[int | None, np.ndarray]], stops: np.ndarray, first: i
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names), first + len(cuts)
 
 
-def pack(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, segment: int = SEGMENT, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of every row of docs (doc_id, text), as SCHEMA has them.
 
     Null or empty text: the end id alone. Null doc_id: kept, null. Repeated rows: rows of their own.
@@ -191,7 +192,7 @@ def pack(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) -> Da
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1).to_pylist())):
+                for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1).to_pylist(), remembered)):
                     held.append((doc_id, np.append(ids, np.uint16(END_ID))))
                     size += len(ids) + 1
                     if size >= segment:
@@ -210,4 +211,4 @@ def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of all documents that came through, in their order."""
-    return pack(docs)
+    return pack(docs, remembered=REMEMBERED_AMONG_OTHERS)

@@ -270,7 +270,7 @@ def redacted(text: Column, spans: Column) -> Column:
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced; n_chars follows the text where the text changes."""
     found = with_spans(docs)
-    votes = stash(found.where((F.size("pii_base") > 0) | (F.size("pii_more") > 0)).select("pii_base", "pii_more"), "pii")
+    votes = stash(found.select("pii_base", "pii_more"), "pii")
     weights = train(votes)
     new = found.withColumn("pii_all", chosen(weights))
     new = new.withColumn("pii_new", F.when(F.size("pii_all") > 0, redacted(F.col("text"), F.col("pii_all"))).otherwise(F.col("text")))

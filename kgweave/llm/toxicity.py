@@ -43,7 +43,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 class TermHashes(dict):
     """The places of a word's terms as bytes, remembered."""
 
-    MOST = 300_000
+    MOST = 100_000
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.MOST:
