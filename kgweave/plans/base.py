@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import CAP, SMOOTH_APPLIED, SMOOTH_MINED, confidence, evidence, rule_class, type_weight
 from ..functions.language import Step
 from ..operators import answering, dependencies, paths, support
-from ..sources.graph import TARGET, edges, relation, split_of, star_graph
+from ..sources.graph import TARGET, edges, purchases, relation, split_of, star_graph
 
 #: Bodies kept for each head when pairs are mined, and the supports that rules and pairs need.
 TOP_BODIES, LEAST_SUPPORT, LEAST_PAIR = 12, 3, 2
@@ -30,13 +30,17 @@ class Base:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    @cached_property
-    def kg(self) -> DataFrame:
-        return star_graph(self.spark, self.sf_dir)
-
     @shared
     def ret(self) -> DataFrame:
-        return relation(self.kg, TARGET)
+        return purchases(self.spark, self.sf_dir)[0]
+
+    @shared
+    def liked(self) -> DataFrame:
+        return purchases(self.spark, self.sf_dir)[1]
+
+    @cached_property
+    def kg(self) -> DataFrame:
+        return star_graph(self.spark, self.sf_dir, self.ret, self.liked)
 
     @cached_property
     def known(self) -> DataFrame:

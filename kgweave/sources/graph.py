@@ -67,15 +67,21 @@ def write_by_relation(triples: DataFrame, path: str) -> None:
     triples.write.partitionBy("r").parquet(path)
 
 
-def star_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph of the star-schema tables: distinct h, r, t."""
+def purchases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """x, y of the two relations that come from line items: large returned lots, and brands bought three times or more."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    bought = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    bought = bought.select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("x"), F.concat(F.lit("b:"), "p_brand").alias("y"), "l_returnflag", "l_quantity")
+    returned = bought.where("l_returnflag = 'R' AND l_quantity >= 40").select("x", "y").distinct()
+    return returned, bought.groupBy("x", "y").agg(F.count("*").alias("n")).where("n >= 3").select("x", "y")
+
+
+def star_graph(spark: SparkSession, sf_dir: str, returned: DataFrame, liked: DataFrame) -> DataFrame:
+    """The graph of the star-schema tables and purchases(): distinct h, r, t."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     triple = lambda df, h, r, o: df.select(h.alias("h"), F.lit(r).alias("r"), o.alias("t"))
     nation, customer, supplier, part, orders, lineitem, events = map(t, ("nation", "customer", "supplier", "part", "orders", "lineitem", "events"))
-    bought = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    returned = bought.where("l_returnflag = 'R' AND l_quantity >= 40").select("o_custkey", "p_brand").distinct()
-    liked = bought.groupBy("o_custkey", "p_brand").agg(F.count("*").alias("n")).where("n >= 3")
     parts = [
         triple(nation, name("n:", "n_nationkey"), "in_region", name("r:", "n_regionkey")),
         triple(customer, name("c:", "c_custkey"), "c_nation", name("n:", "c_nationkey")),
@@ -87,8 +93,8 @@ def star_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         triple(lineitem, name("o:", "l_orderkey"), "has_part", name("p:", "l_partkey")).distinct(),
         triple(lineitem, name("s:", "l_suppkey"), "supplies", name("p:", "l_partkey")).distinct(),
         triple(events, name("u:", "user_id"), "did", name("e:", "event_type")).distinct(),
-        triple(returned, name("c:", "o_custkey"), TARGET, name("b:", "p_brand")),
-        triple(liked, name("c:", "o_custkey"), "likes_brand", name("b:", "p_brand")),
+        triple(returned, F.col("x"), TARGET, F.col("y")),
+        triple(liked, F.col("x"), "likes_brand", F.col("y")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
