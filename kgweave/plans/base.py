@@ -12,8 +12,8 @@ from ..functions.language import Step
 from ..operators import answering, dependencies, paths, support
 from ..sources.graph import TARGET, edges, purchases, relation, split_of, star_graph
 
-#: Bodies kept for each head when pairs are mined, and the supports that rules and pairs need.
-TOP_BODIES, LEAST_SUPPORT, LEAST_PAIR = 12, 3, 2
+#: Bodies kept for each head when pairs are mined (the reference's TOP_K), and the supports that rules and pairs need.
+TOP_BODIES, LEAST_SUPPORT, LEAST_PAIR = 500, 3, 2
 WALK = (Step("c_nation"), Step("c_nation", True), Step(TARGET))
 
 

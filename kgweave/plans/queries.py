@@ -14,7 +14,7 @@ from ..functions import evidence as E
 from ..functions.language import Step, parse_rule
 from ..operators import analysis, answering, dependencies, paths, reports, scoring, support, training
 from ..sources import graph
-from .base import WALK, Base
+from .base import TOP_BODIES, WALK, Base
 from .sql import query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,7 +277,7 @@ def dep_topk_bodies(b: Base):
     head = F.split("rule", " <= ")[0]
     rules = b.metrics.join(b.catalog, "rule_id").select("rule_id", head.alias("head"), "support", "conf").where("support >= 3")
     order = Window.partitionBy("head").orderBy(C("conf").desc(), "rule_id")
-    return rules.withColumn("nth", F.row_number().over(order).cast("long")).where("nth <= 12").select("rule_id", "nth")
+    return rules.withColumn("nth", F.row_number().over(order).cast("long")).where(C("nth") <= TOP_BODIES).select("rule_id", "nth")
 
 
 @plan("SELECT a, b, body, support FROM pairs")
