@@ -4,7 +4,7 @@ A signature has VALUES values, of which the forest uses TREES * LEAST. Each tree
 signatures in its own order: tree t reads the values from place t * LEAST on, round the end. Documents that stand next to each other in
 a tree share the longest prefixes; those sharing LEAST values or more are candidates. No depth is
 fixed for all: where a prefix is shared by few documents it is used as it is, where it is shared by
-many it is taken deeper, region by region, up to DEEPEST values.
+many the order goes deeper, up to DEEPEST values.
 
 Work goes in two rounds, so that a group of thousands of near copies costs a few comparisons for
 each member instead of all pairs:
@@ -13,8 +13,8 @@ each member instead of all pairs:
    in blocks of BLOCK rows, gives the pairs (block's least id, member) and (member, next member).
    Confirmed pairs make components.
 2. rest: where a region still has several components, every document outside the region's largest
-   one is compared with every document of the others. A region that would need more than
-   MOST_PAIRS goes one value deeper; at DEEPEST all remaining pairs are compared.
+   one is compared with every document of the others. Documents of regions that would need more than
+   MOST_PAIRS meet on their rare shingles instead (rare_shingles()), which leaves out no link.
 
 Two documents at a Jaccard similarity of s share a region in some tree with probability
 1 - (1 - s ** LEAST) ** TREES: 0.999998 at s = 0.75.
@@ -31,7 +31,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import claim, discard, ship, stash, table
@@ -248,9 +248,35 @@ def profiles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.join(own, "node", "left").mapInArrow(profile, "node long" + "".join(f", {k} long" for k in (*PROFILE, "rest"))).dropDuplicates(["node"])
 
 
-def unresolved(rows: DataFrame, depth: int) -> DataFrame:
-    """Rows of the regions that hold several components: region, its largest component (top), and how many pairs it takes to compare all others with the whole region."""
-    keyed = rows.withColumn("region", region(depth))
+def rare_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """region (a shingle), node, n: of each set of n shingles the n // 4 + 1 that the fewest of the nodes have.
+
+    A link takes 3 / 4 of either set in common, so that in one order for all, two linked sets have a
+    shingle in common among so many of their first. Those that no other node has come first and are left out,
+    as they meet none.
+    """
+
+    def each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("neardup", _WORDS.clear)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                columns = [np.concatenate(sets).view(np.int64), *(np.repeat(c, sizes) for c in (part.column(0).to_numpy(), keys, sizes))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["region", "node", "own", "n"])
+
+    each = stash(texts_of(nodes, docs).mapInArrow(each_shingle, "region long, node long, own long, n long"), "shingles")
+    counts = each.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
+    # Counted from the most frequent on. Rows with one id may repeat a set: equal shingles take one place.
+    order = Window.partitionBy("node", "own").orderBy(F.col("c").desc(), F.col("region").desc())
+    rare = each.join(counts, "region").withColumn("place", F.dense_rank().over(order)).where("place >= n - n div 4")
+    return rare.select("region", "node", "n").distinct()
+
+
+def unresolved(keyed: DataFrame) -> DataFrame:
+    """Rows of the regions that hold several components: the region's largest component (top), and how many pairs it takes to compare all others with the whole region."""
     each = keyed.groupBy("region", "comp").agg(F.count("*").alias("m"))
     whole = each.groupBy("region").agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("top"))
     whole = whole.where("m > top.m").select("region", F.col("top.comp").alias("top"), ((F.col("m") - F.col("top.m")) * F.col("m")).alias("pairs"))
@@ -258,28 +284,28 @@ def unresolved(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def between_components(rows: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of different components within the regions, each region as deep as MOST_PAIRS asks for.
+    """Pairs of different components within the regions; where those would be too many, of documents with a rare shingle in common.
 
     Pairs whose profiles show that they have less in common than the 3 / 7 of both sizes that a link
     needs are left out.
     """
     rows = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = stash(unresolved(rows, LEAST), "regions")
-    rows = rows.join(profiles(stash(rows.select("node").distinct(), "ids"), docs), "node")
+    rows = stash(unresolved(rows.withColumn("region", region(LEAST))), "regions")
+    rows = stash(rows.join(profiles(stash(rows.select("node").distinct(), "ids"), docs), "node"), "regions")
     common = reduce(Column.__add__, [F.bit_count(F.col(f"x_{k}").bitwiseAND(F.col(f"y_{k}"))) for k in PROFILE]) + F.least("x_rest", "y_rest")
-    found = []
-    for depth in range(LEAST, DEEPEST + 1):
-        if depth > LEAST:
-            rows = unresolved(rows.drop("region", "top", "pairs"), depth)
-        rows = stash(rows, "regions")
-        now = rows if depth == DEEPEST else rows.where(F.col("pairs") <= MOST_PAIRS)
+
+    def met(now: DataFrame) -> DataFrame:
         side = lambda df, c: df.select("region", F.col("node").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("comp", "n", "rest", *PROFILE, *SKETCH)])
-        met = side(now.where("comp <> top"), "x").join(side(now, "y"), "region").where("x_comp <> y_comp").where(common * 7 >= (F.col("x_n") + F.col("y_n")) * 3)
-        found.append(met.where(may_link_columns("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        rows = rows.where(F.col("pairs") > MOST_PAIRS)
-        if depth < DEEPEST and rows.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found).distinct()
+        pairs = side(now.where("comp <> top"), "x").join(side(now, "y"), "region").where("x_comp <> y_comp").where(common * 7 >= (F.col("x_n") + F.col("y_n")) * 3)
+        return pairs.where(may_link_columns("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    found = met(rows.where(F.col("pairs") <= MOST_PAIRS))
+    crowd = rows.where(F.col("pairs") > MOST_PAIRS).dropDuplicates(["node", "n", *SKETCH]).drop("region", "top", "pairs")
+    if crowd.isEmpty():
+        return found
+    crowd = stash(crowd, "crowd")
+    rare = rare_shingles(stash(crowd.select("node").distinct(), "ids"), docs)
+    return found.unionByName(met(unresolved(rare.join(crowd, ["node", "n"])))).distinct()
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:

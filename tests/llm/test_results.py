@@ -240,6 +240,22 @@ def test_near_duplicates_in_a_crowd(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_groups(docs)
 
 
+def test_links_inside_a_crowd_of_less_alike(spark, monkeypatch):
+    """Pairs just over 0.75, each alone among documents that are at 0.64 with one another."""
+    monkeypatch.setattr(neardup, "MOST_PAIRS", 40)
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**9)}"
+    template = [word() for _ in range(100)]
+    docs = []
+    for k in range(120):
+        both = [word() for _ in range(10)]
+        docs += [(2 * k + j, " ".join(template + both + [word() for _ in range(17)])) for j in range(2)]
+    want = near_groups(docs)
+    assert len({c for _, c in want.values()}) == 120
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 160)]
