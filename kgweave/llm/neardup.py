@@ -42,10 +42,10 @@ TREES, LEAST, DEEPEST = 24, 3, 8
 VALUES = 128
 BLOCK = 256
 MOST_PAIRS = 4096
-#: Pairs whose signatures agree in less than this part can't reach 0.75 (off by 4.4 standard deviations).
+#: In the first round, pairs whose signatures agree in less than this part are left to the second (off by 4.4 standard deviations).
 LEAST_AGREEMENT = 0.58
-#: Sketches hold four bits of each value. At 0.75, 30 of them differ on average; pairs with more than this
-#: (3.5 standard deviations) are left out.
+#: Sketches hold four bits of each value. At 0.75, 30 of them differ on average; in the first round, pairs with
+#: more than this (3.5 standard deviations) are left to the second, which goes by exact bounds alone.
 MOST_UNLIKE = 46
 SKETCH = [f"s{k}" for k in range(VALUES // 16)]
 GROUPS, LEVELS = 128, 4
@@ -106,7 +106,7 @@ def sketch(sig: bytes) -> list[int]:
 
 
 def may_link(x: tuple, y: tuple) -> bool:
-    """Whether two (node, n, *SKETCH) can be linked; as may_link_columns()."""
+    """Whether two (node, n, *SKETCH) are worth a look in the first round."""
     if 75 * max(x[1], y[1]) > 100 * min(x[1], y[1]):
         return False
     unlike = 0
@@ -116,15 +116,6 @@ def may_link(x: tuple, y: tuple) -> bool:
     return unlike <= MOST_UNLIKE
 
 
-def may_link_columns(x: str, y: str) -> Column:
-    def unlike(k: str) -> Column:
-        d = F.col(f"{x}_{k}").bitwiseXOR(F.col(f"{y}_{k}"))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-
-    return F.expr(f"75 * greatest({x}_n, {y}_n) <= 100 * least({x}_n, {y}_n)") & (reduce(Column.__add__, map(unlike, SKETCH)) <= MOST_UNLIKE)
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < 75 * max(len(a), len(b)):
         return False
@@ -295,12 +286,12 @@ def between_components(rows: DataFrame, labels: DataFrame, docs: DataFrame) -> D
     common = reduce(Column.__add__, [F.bit_count(F.col(f"x_{k}").bitwiseAND(F.col(f"y_{k}"))) for k in PROFILE]) + F.least("x_rest", "y_rest")
 
     def met(now: DataFrame) -> DataFrame:
-        side = lambda df, c: df.select("region", F.col("node").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("comp", "n", "rest", *PROFILE, *SKETCH)])
+        side = lambda df, c: df.select("region", F.col("node").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("comp", "n", "rest", *PROFILE)])
         pairs = side(now.where("comp <> top"), "x").join(side(now, "y"), "region").where("x_comp <> y_comp").where(common * 7 >= (F.col("x_n") + F.col("y_n")) * 3)
-        return pairs.where(may_link_columns("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return pairs.where(F.expr("75 * greatest(x_n, y_n) <= 100 * least(x_n, y_n)")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     found = met(rows.where(F.col("pairs") <= MOST_PAIRS))
-    crowd = rows.where(F.col("pairs") > MOST_PAIRS).dropDuplicates(["node", "n", *SKETCH]).drop("region", "top", "pairs")
+    crowd = rows.where(F.col("pairs") > MOST_PAIRS).dropDuplicates(["node", "n"]).drop("region", "top", "pairs")
     if crowd.isEmpty():
         return found
     crowd = stash(crowd, "crowd")
@@ -308,8 +299,8 @@ def between_components(rows: DataFrame, labels: DataFrame, docs: DataFrame) -> D
     return found.unionByName(met(unresolved(rare.join(crowd, ["node", "n"])))).distinct()
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked by their full sets."""
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) that are linked by their full sets. With classes, only pairs whose signatures agree enough are looked at."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,9 +323,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             a, b, x, y = (c.to_pylist() for c in batch.columns)
             yield batch.select([0, 1]).filter(pa.array([linked(of(*p), of(*q)) for p, q in zip(zip(a, x), zip(b, y))], pa.bool_()))
 
-    sig = classes.select("node", "sig")
-    near = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-    near = stash(near.mapInArrow(agree, "a long, b long"), "near")
+    near = pairs
+    if classes is not None:
+        sig = classes.select("node", "sig")
+        both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
+        near = stash(both.mapInArrow(agree, "a long, b long"), "near")
     ids = stash(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "ids")
     texts = texts_of(ids, docs)
     both = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
@@ -385,9 +378,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     forest = stash(crowded(tree_rows(classes)).join(classes.drop("sig"), "node"), "forest")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links = stash(confirmed(neighbours(forest), classes, text), "links")
+    links = stash(confirmed(neighbours(forest), text, classes), "links")
     first = stash(components(links), "components")
-    more = confirmed(stash(between_components(forest, first, text), "between"), classes, text)
+    more = confirmed(stash(between_components(forest, first, text), "between"), text)
     labels = components(links.unionByName(more).unionByName(same))
     out = rows.join(labels, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("comp", "doc_id")

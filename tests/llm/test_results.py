@@ -256,6 +256,22 @@ def test_links_inside_a_crowd_of_less_alike(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_links_whose_sketches_are_unlike(spark):
+    r = random.Random(13)
+    word = lambda: f"w{r.randrange(10**9)}"
+    unlike = lambda x, y: sum(a & 15 != b & 15 for a, b in zip(x[3::4], y[3::4]))
+    docs = []
+    while len(docs) < 6:
+        both = [word() for _ in range(110)]
+        pair = [" ".join(both + [word() for _ in range(17)]) for _ in range(2)]
+        if unlike(*(neardup.signature(neardup.shingle_set(t)) for t in pair)) > 46:
+            docs += [(len(docs) + j, t) for j, t in enumerate(pair)]
+    want = near_groups(docs)
+    assert [want[k][1] for k in range(6)] == [0, 0, 2, 2, 4, 4]
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 160)]
