@@ -316,8 +316,12 @@ def pair_log_odds(b: Base):
 RANKED = "SELECT a, b, row_number() OVER (PARTITION BY rel ORDER BY {}, a, b) AS pos FROM {}"
 
 
+#: A relation keeps so many pairs for each of its rules (the reference's default).
+PAIRS_PER_RULE = 2
+
+
 def budget(b: Base, mode: str) -> DataFrame:
-    limits = b.spark.createDataFrame([(graph.TARGET, 200)], "rel string, `limit` int")
+    limits = b.catalog.groupBy(F.lit(graph.TARGET).alias("rel")).agg((F.count("*") * PAIRS_PER_RULE).alias("limit"))
     return dependencies.within_budget(dependencies.ranked(b.paired, mode), limits).select("a", "b", C("pos").cast("long").alias("pos"))
 
 

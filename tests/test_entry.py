@@ -54,6 +54,22 @@ def test_no_rule_of_enough_support_is_left_out_of_pairs(spark, name):
     assert heads  # some head has more than twelve
 
 
+@pytest.mark.parametrize("name", ["dep_rank_lift", "dep_rank_ratio", "dep_rank_mix"])
+def test_budget_grows_with_the_rules(spark, name):
+    """Against the SQL with two pairs for each rule of the catalogue."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for f in Path(sf).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    whole = re.sub(r"nth <= \d+", "nth <= 500", entry.oracle_sql()[name])
+    whole = re.sub(r"pos <= \d+", "pos <= 2 * (SELECT count(*) FROM catalog)", whole)
+    got = entry.queries()[name](spark, sf)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({whole})").fetchall()
+    assert len(want) > 200 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_works_without_the_corpus_folders(tmp_path):
     import shutil
 
