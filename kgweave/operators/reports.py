@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.evidence import CAP, confidence, evidence
+from ..sources.stash import stash
 from .analysis import average_ranks
 from .answering import reciprocal
 from .dependencies import active
@@ -155,7 +156,8 @@ def forest_selector(values: DataFrame, columns: Sequence[str], target: str, key:
     from pyspark.ml.regression import RandomForestRegressor
 
     data = VectorAssembler(inputCols=list(columns), outputCol="features").transform(values.na.fill(0.0, list(columns)))
-    data = data.select(key, "features", F.col(target).cast("double").alias("label"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("fold")).persist()
+    data = data.select(key, "features", F.col(target).cast("double").alias("label"), F.pmod(F.xxhash64(key), F.lit(folds)).alias("fold"))
+    data = stash(data, "forest")
     parts = []
     for k in range(folds):
         model = RandomForestRegressor(numTrees=trees, maxDepth=5, seed=7).fit(data.where(F.col("fold") != k))

@@ -11,6 +11,7 @@ from ..functions.evidence import CAP, SMOOTH_APPLIED, SMOOTH_MINED, confidence,
 from ..functions.language import Step
 from ..operators import answering, dependencies, paths, support
 from ..sources.graph import TARGET, edges, purchases, relation, split_of, star_graph
+from ..sources.stash import stash
 
 #: Bodies kept for each head when pairs are mined (the reference's TOP_K), and the supports that rules and pairs need.
 TOP_BODIES, LEAST_SUPPORT, LEAST_PAIR = 500, 3, 2
@@ -18,14 +19,14 @@ WALK = (Step("c_nation"), Step("c_nation", True), Step(TARGET))
 
 
 class shared(cached_property):
-    """A table that several parts of a query read: computed once, kept in memory and on disk by its plan."""
+    """A table that several parts of a query read: written to the shared folder once, so that plans stay small."""
 
     def __init__(self, f):
-        super().__init__(lambda self: f(self).persist())
+        super().__init__(lambda self: stash(f(self), f.__name__))
 
 
 class Base:
-    """Lazy tables of one directory. Nothing is computed until a query's result is asked for."""
+    """Tables of one directory. Those that are shared are computed when a query is planned that needs them, the rest with its result."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -94,11 +95,11 @@ class Base:
         good = self.metrics.where("support > 0").select("rule_id", "evidence", "conf")
         return answering.fired(queries, self.known).join(good, "rule_id")
 
-    @cached_property
+    @shared
     def best(self) -> DataFrame:
         return answering.scored(self.fired, "max").withColumn("score", F.round("score", 9))
 
-    @cached_property
+    @shared
     def noisy(self) -> DataFrame:
         return answering.scored(self.fired, "noisyor").withColumn("score", F.round("score", 9))
 
@@ -106,7 +107,7 @@ class Base:
     def freq(self) -> DataFrame:
         return self.known.groupBy(F.col("y").alias("entity")).agg(F.count("*").alias("n"))
 
-    @cached_property
+    @shared
     def labels(self) -> DataFrame:
         return answering.labelled(answering.candidates(self.fired), self.gold).select("x", "y", "label")
 

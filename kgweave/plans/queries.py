@@ -272,7 +272,7 @@ def query_features(b: Base):
 # Dependencies
 
 
-@plan("SELECT rule_id, nth FROM top WHERE nth <= 12")
+@plan("SELECT rule_id, nth FROM top WHERE nth <= 500")
 def dep_topk_bodies(b: Base):
     head = F.split("rule", " <= ")[0]
     rules = b.metrics.join(b.catalog, "rule_id").select("rule_id", head.alias("head"), "support", "conf").where("support >= 3")
@@ -325,18 +325,18 @@ def budget(b: Base, mode: str) -> DataFrame:
     return dependencies.within_budget(dependencies.ranked(b.paired, mode), limits).select("a", "b", C("pos").cast("long").alias("pos"))
 
 
-@plan(f"SELECT * FROM ({RANKED.format('abs(lift) DESC', 'paired')}) WHERE pos <= 200")
+@plan(f"SELECT * FROM ({RANKED.format('abs(lift) DESC', 'paired')}) WHERE pos <= 2 * (SELECT count(*) FROM catalog)")
 def dep_rank_lift(b: Base):
     return budget(b, "lift")
 
 
-@plan(f"SELECT * FROM ({RANKED.format('abs(log_odds) DESC', 'paired')}) WHERE pos <= 200")
+@plan(f"SELECT * FROM ({RANKED.format('abs(log_odds) DESC', 'paired')}) WHERE pos <= 2 * (SELECT count(*) FROM catalog)")
 def dep_rank_ratio(b: Base):
     return budget(b, "log_odds")
 
 
 @plan("""SELECT * FROM (SELECT a, b, row_number() OVER (ORDER BY least(p, q), a, b) AS pos FROM (
-    SELECT a, b, 2 * row_number() OVER (ORDER BY abs(lift) DESC, a, b) - 1 AS p, 2 * row_number() OVER (ORDER BY abs(log_odds) DESC, a, b) AS q FROM paired)) WHERE pos <= 200""")
+    SELECT a, b, 2 * row_number() OVER (ORDER BY abs(lift) DESC, a, b) - 1 AS p, 2 * row_number() OVER (ORDER BY abs(log_odds) DESC, a, b) AS q FROM paired)) WHERE pos <= 2 * (SELECT count(*) FROM catalog)""")
 def dep_rank_mix(b: Base):
     return budget(b, "mix")
 

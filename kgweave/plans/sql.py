@@ -50,7 +50,7 @@ CTES = {
     "top": """SELECT m.rule_id, split_part(c.rule, ' <= ', 1) AS head, m.body_size, m.support, m.conf,
         row_number() OVER (PARTITION BY split_part(c.rule, ' <= ', 1) ORDER BY m.conf DESC, m.rule_id) AS nth
         FROM metrics m JOIN catalog c ON m.rule_id = c.rule_id WHERE m.support >= 3""",
-    "bodies": "SELECT * FROM top WHERE nth <= 12",
+    "bodies": "SELECT * FROM top WHERE nth <= 500",
     "mined": "SELECT i.rule_id, i.x, i.y FROM inst i JOIN bodies b ON i.rule_id = b.rule_id",
     "pairs": """SELECT p.rule_id AS a, q.rule_id AS b, count(*) AS body, count(k.x) AS support FROM mined p
         JOIN mined q ON p.x = q.x AND p.y = q.y AND p.rule_id < q.rule_id LEFT JOIN known k ON p.x = k.x AND p.y = k.y GROUP BY 1, 2 HAVING count(k.x) >= 2""",
