@@ -9,7 +9,9 @@ group) have the product of their factors, which a linear model can't learn.
 
 It is trained in numpy by Adam, with an l2 penalty, on a bounded sample of labelled documents: at most
 PER_LABEL of each label, those with the least hash of their id, weighted to the labels' shares
-among all labelled rows. Scoring runs over whole texts in Arrow batches; the model has a fixed size
+among all labelled rows. The sample's texts become terms on the executors. Trained are the terms that
+tell the labels apart alone, and those that do so beside another: the statistic of a pair's interaction
+finds words that say nothing by themselves. Scoring runs over whole texts in Arrow batches; the model has a fixed size
 of 2 ** BITS * (FACTORS + 1) floats.
 """
 
@@ -26,15 +28,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, ship, table
+from .common import claim, discard, ship, stash, table
 
 BITS, FACTORS = 18, 8
 STARTS = (5, 6, 7)
 PER_LABEL = 3000
 EPOCHS, BATCH, RATE, PENALTY = 12, 128, 0.03, 1e-4
-#: Terms that fewer documents of the sample have, or whose chi-square statistic against the label is
-#: less, keep weights of zero.
-LEAST_DOCUMENTS, LEAST_CHI2 = 3, 8.0
+#: Small samples go round more often: factors near zero need so many steps to grow.
+LEAST_STEPS = 400
+#: How far factors stand from zero at first: at zero, products have no slope.
+SPREAD = 0.01
+#: A term is trained if LEAST_DOCUMENTS of the sample have it and its chi-square statistic against the label is
+#: this, or if with another term the interaction's is LEAST_PAIR_CHI2 (higher, as there are millions of pairs).
+LEAST_DOCUMENTS, LEAST_CHI2, LEAST_PAIR_CHI2 = 3, 8.0, 45.0
+#: Pairs are looked at among the terms that tell alone and all that this part of the sample has.
+PAIRED_SHARE = 0.02
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,7 +51,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 class TermHashes(dict):
     """The places of a word's terms as bytes, remembered."""
 
-    MOST = 100_000
+    MOST = 50_000
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.MOST:
@@ -88,17 +96,47 @@ class Machine:
 
 
 def telling(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Places of the terms that tell the labels apart."""
+    """Places of the terms that tell the labels apart, alone or in a pair."""
     size, n, one = 1 << BITS, len(docs), labels.sum()
     both = np.bincount(np.concatenate(docs), minlength=size).astype(float)
     hit = np.bincount(np.concatenate([d for d, y in zip(docs, labels) if y]), minlength=size).astype(float)
     expected = both * one / n
     chi2 = (hit - expected) ** 2 / np.maximum(expected * (1 - one / n) * (1 - both / n), 1e-9)
-    return np.flatnonzero((both >= LEAST_DOCUMENTS) & (chi2 >= LEAST_CHI2))
-
-
-def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 0) -> Machine:
-    """Without both labels: a constant machine that gives the share of label 1."""
+    alone = (both >= LEAST_DOCUMENTS) & (chi2 >= LEAST_CHI2)
+    met = np.flatnonzero(alone | (both >= max(LEAST_DOCUMENTS, PAIRED_SHARE * n)) & (both < n))
+    alone[met[paired(docs, labels, met)]] = True
+    return np.flatnonzero(alone)
+
+
+def paired(docs: list[np.ndarray], labels: np.ndarray, met: np.ndarray, step: int = 512) -> np.ndarray:
+    """Which of the places `met` interact with another: the label's shares in the four cells of a pair, p11 - p10 - p01 + p00,
+    against their spread if both had nothing to do with the label."""
+    place = np.full(1 << BITS, -1, np.int64)
+    place[met] = np.arange(len(met))
+    has = np.zeros((len(docs), len(met)), np.float32)
+    for k, d in enumerate(docs):
+        own = place[d]
+        has[k, own[own >= 0]] = 1
+    n, one = len(docs), float(labels.sum())
+    share = one / n
+    toxic = has[labels > 0]
+    count, hit = has.sum(0), toxic.sum(0)
+    found = np.zeros(len(met), bool)
+    for at in range(0, len(met), step):
+        i = slice(at, at + step)
+        n11, t11 = has[:, i].T @ has, toxic[:, i].T @ toxic
+        n10, t10, n01, t01 = count[i, None] - n11, hit[i, None] - t11, count - n11, hit - t11
+        n00, t00 = n - n11 - n10 - n01, one - t11 - t10 - t01
+        enough = np.minimum(np.minimum(n11, n10), np.minimum(n01, n00)) >= 5
+        cells = [np.maximum(c, 1) for c in (n11, n10, n01, n00)]
+        contrast = t11 / cells[0] - t10 / cells[1] - t01 / cells[2] + t00 / cells[3]
+        spread = share * (1 - share) * sum(1 / c for c in cells)
+        found[i] |= (enough & (contrast**2 >= LEAST_PAIR_CHI2 * spread)).any(1)
+    return found
+
+
+def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 0, products: bool = True) -> Machine:
+    """Without both labels: a constant machine that gives the share of label 1. Without products: linear weights alone."""
     share = float(np.average(labels, weights=weights)) if len(labels) else 0.0
     size = 1 << BITS
     if share in (0.0, 1.0):
@@ -109,9 +147,10 @@ def train(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed:
     place[used] = np.arange(len(used))
     docs = [p[p >= 0] for p in (place[d] for d in docs)]
     m = Machine(float(np.log(share / (1 - share))), np.zeros((len(used), FACTORS + 1), np.float32))
-    m.table[:, 1:] = random.normal(0, 0.01, (len(used), FACTORS))
+    if products:
+        m.table[:, 1:] = random.normal(0, SPREAD, (len(used), FACTORS))
     first, second, b1, b2, step = np.zeros_like(m.table), np.zeros_like(m.table), 0.9, 0.99, 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(docs)))):
         order = random.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
@@ -136,25 +175,35 @@ def held_out() -> Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[list[tuple[str, int]], dict[int, float]]:
-    """(text, label) of at most per_label documents of each label, and each label's weight."""
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[list[tuple[np.ndarray, int]], dict[int, float]]:
+    """(terms, label) of at most per_label documents of each label, and each label's weight."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", "toxic")
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id")
     picked = [usable.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(per_label) for k in (0, 1)]
-    # 2 * per_label rows at most.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("text", "toxic", order.alias("o"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("c")).collect()
+    # 2 * per_label rows at most; an id may still have many documents, so the limit is set again behind them.
+    mine = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("text", "toxic", order.alias("o"), F.xxhash64("text").alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity", _TERMS.clear)
+        for batch in batches:
+            found = [terms(t).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], names=["terms", "toxic", "o", "c"])
+
+    each = stash(mine.mapInArrow(run, "terms binary, toxic int, o long, c long"), "toxic")
+    rows = [r for k in (0, 1) for r in each.where(F.col("toxic") == k).orderBy("o", "c").limit(per_label).collect()]
+    discard(each)
     rows.sort(key=lambda r: (r["o"], r["toxic"], r["c"]))
     all_rows = sum(counts.values())
     weight = {k: (n / all_rows) / (min(n, per_label) / sum(min(x, per_label) for x in counts.values())) for k, n in counts.items()}
-    return [(r["text"], r["toxic"]) for r in rows], weight
+    return [(np.frombuffer(r["terms"], np.uint32), r["toxic"]) for r in rows], weight
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Machine:
     ship(docs.sparkSession)
     rows, weight = sample(docs, labels, per_label)
     y = np.array([k for _, k in rows], float)
-    return train([terms(t) for t, _ in rows], y, np.array([weight[k] for _, k in rows]))
+    return train([t for t, _ in rows], y, np.array([weight[k] for _, k in rows]))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -182,7 +231,11 @@ def op1_toxicity_factorization_machine(spark: SparkSession, sf_dir: str) -> Data
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted to be toxic."""
+    """Documents that aren't predicted to be toxic, all columns as they are.
+
+    Null or empty text: judged by the bias alone. Null doc_id and repeated rows: rows like any other. An
+    empty table gives no rows; without labels of both kinds the machine is a constant.
+    """
     machine = fit(docs, table(spark, sf_dir, "labels"))
     shared = spark.sparkContext.broadcast((machine.bias, machine.table))
 
