@@ -14,8 +14,9 @@ of the corpus) estimates how often each labeler is right and how likely each pat
 A logistic classifier learns those likelihoods from the votes and the span's shape, over all
 spans of the corpus, and decides which candidates become spans. It is a column expression.
 
-Positions come without Python: each match is put between two marks that the text can't contain, and
-its start is the length of what stands before its mark.
+Positions come without Python: each match is put between two marks that the text can't contain, the
+text is split there, and one pass over the pieces sums up their lengths and keeps the last
+characters for the context.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ WIDER = {
     "obscured_email": f"(?:\\G|(?<!{_LOCAL})){_LOCAL}++ ?[\\[(](?:at|AT)[\\])] ?{_HOST}++(?: ?[\\[(](?:dot|DOT)[\\])] ?{_HOST}++)++",
     "local_phone": "(?<![0-9A-Za-z+.-])\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
     "account": "(?<![0-9A-Za-z.-])(?:[0-9][ -]?){13,18}[0-9](?![0-9A-Za-z-])",
-    "secret": "(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}+(?![0-9A-Za-z])",
+    "secret": "(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{32,128}+(?![0-9A-Za-z_-])",
 }
 #: A text without this has no match; checked before the pattern.
 NEEDS = {"email": "@", "phone": "+", "obscured_email": ("(at", "[at", "(AT", "[AT")}
@@ -95,20 +96,28 @@ def marked(kind: str, text: Column) -> Column:
     return F.when(there, F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"))
 
 
-def spans_of(kind: str, text: Column, marks: Column) -> Column:
-    """Array of (start, kind number, end, match, votes and shape) of the matches that pass."""
+def spans_of(kind: str, marks: Column) -> Column:
+    """Array of (start, kind number, end, votes and shape) of the matches that pass."""
     n = KINDS.index(kind)
-    pieces = F.transform(F.split(marks, OPEN), lambda p, k: F.struct(k.alias("k"), F.substring_index(p, CLOSE, 1).alias("m")))
-    good = F.filter(pieces, lambda x: (x["k"] > 0) & passes(kind, x["m"]))
+    piece_type = "struct<start: int, before: string, piece: string>"
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast(f"array<{piece_type}>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        plain = F.replace(piece, F.lit(CLOSE), F.lit(""))
+        out = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), acc["before"].alias("before"), piece.alias("piece"))))
+        return F.struct((acc["at"] + F.length(plain)).alias("at"), F.substring(F.concat(acc["before"], plain), -NEAR, NEAR).alias("before"), out.alias("out"))
+
+    pieces = F.filter(F.aggregate(F.split(marks, OPEN), begin, step, lambda acc: acc["out"]), lambda x: x["piece"].contains(CLOSE))
+    # The match on its own, so that it is cut out once.
+    each = F.transform(pieces, lambda x: F.struct(x["start"].alias("start"), x["before"].alias("before"), F.substring_index(x["piece"], CLOSE, 1).alias("m"), F.substring(F.substring_index(x["piece"], CLOSE, -1), 1, 1).alias("after")))
+    good = F.filter(each, lambda x: passes(kind, x["m"]))
 
     def span(x: Column) -> Column:
-        start = F.length(F.call_function("substring_index", marks, F.lit(OPEN), x["k"])) - 2 * (x["k"] - 1)
-        end = start + F.length(x["m"])
-        before = F.substring(text, F.greatest(start - NEAR + 1, F.lit(1)), F.least(start, F.lit(NEAR)))
-        sides = F.concat(F.substring(text, start, F.when(start > 0, 1).otherwise(0)), F.lit("|"), F.substring(text, end + 1, F.lit(1)))
-        votes = votes_of(kind, x["m"], F.lower(before), sides)
+        end = x["start"] + F.length(x["m"])
+        sides = F.concat(F.substring(x["before"], -1, 1), F.lit("|"), x["after"])
+        votes = votes_of(kind, x["m"], F.lower(x["before"]), sides)
         shape = F.least(F.floor(F.log2(F.length(x["m"]))), F.lit(7)).cast("int")
-        return F.struct(start.cast("int").alias("start"), F.lit(n).alias("kind"), end.cast("int").alias("end"), *[v.cast("int").alias(k) for k, v in zip(LABELERS, votes)], shape.alias("shape"))
+        return F.struct(x["start"].alias("start"), F.lit(n).alias("kind"), end.cast("int").alias("end"), *[v.cast("int").alias(k) for k, v in zip(LABELERS, votes)], shape.alias("shape"))
 
     kind_type = ", ".join(f"{c}: int" for c in ("start", "kind", "end", *LABELERS, "shape"))
     return F.coalesce(F.transform(good, span), F.array().cast(f"array<struct<{kind_type}>>"))
@@ -126,7 +135,7 @@ def votes_of(kind: str, match: Column, before: Column, sides: Column) -> list[Co
         "obscured_email": yes(F.length(match) >= 10, 0),
         "local_phone": F.when(same, -1).when(match.rlike("\\(|^[0-9]{3}-[0-9]{3}-"), 1).otherwise(0),
         "account": F.when(same, -1).otherwise(0),
-        "secret": F.when(match.rlike("^[0-9]+$|^[A-Fa-f]+$"), -1).otherwise(1),
+        "secret": F.when(match.rlike("^[0-9_-]+$|^[A-Za-z_-]+$"), -1).when(match.rlike("^[0-9A-Fa-f]+$|[0-9].*[0-9].*[0-9]"), 1).otherwise(0),
     }[kind]
     gazetteer = {
         "email": yes(F.lower(match).rlike(f"\\.({DOMAINS})$"), -1),
@@ -144,15 +153,15 @@ def votes_of(kind: str, match: Column, before: Column, sides: Column) -> list[Co
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """Add pii_base and pii_more: arrays of spans with their votes. Candidates that touch a base span are left out."""
-    text = F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE, NEITHER * 2)
-    keep = docs.columns
-    df = docs.withColumn("pii_text", text)
-    df = df.select("*", *[marked(k, F.col("pii_text")).alias(f"pii_{k}") for k in KINDS])
-    found = {k: spans_of(k, F.col("pii_text"), F.col(f"pii_{k}")) for k in KINDS}
-    df = df.select(*keep, F.concat(*[found[k] for k in BASE]).alias("pii_base"), F.concat(*[found[k] for k in WIDER]).alias("pii_wide"))
+    """doc (all columns of docs, as one struct, so that no name of theirs can clash), base and more: arrays of spans with
+    their votes. Candidates that touch a base span are left out."""
+    clean = F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE, NEITHER * 2)
+    df = docs.select(F.struct("*").alias("doc"), clean.alias("clean"))
+    df = df.select("doc", *[marked(k, F.col("clean")).alias(k) for k in KINDS])
+    found = {k: spans_of(k, F.col(k)) for k in KINDS}
+    df = df.select("doc", F.concat(*[found[k] for k in BASE]).alias("base"), F.concat(*[found[k] for k in WIDER]).alias("wide"))
     apart = lambda x, all_: ~F.exists(all_, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    return df.select(*keep, "pii_base", F.filter("pii_wide", lambda x: apart(x, F.col("pii_base"))).alias("pii_more"))
+    return df.select("doc", "base", F.filter("wide", lambda x: apart(x, F.col("base"))).alias("more"))
 
 
 def estimate(counts: list[dict], turns: int = EM_TURNS) -> dict[tuple, float]:
@@ -211,8 +220,8 @@ def classifier(counts: list[dict], turns: int = FIT_TURNS) -> dict[str, float]:
 
 
 def train(spans: DataFrame) -> dict[str, float]:
-    """From pii_base and pii_more of all documents. The groups are bounded: 8 kinds, 81 votes, 8 shapes."""
-    each = spans.select(F.explode(F.concat("pii_base", "pii_more")).alias("s")).select("s.*")
+    """From base and more of all documents. The groups are bounded: 8 kinds, 81 votes, 8 shapes."""
+    each = spans.select(F.explode(F.concat("base", "more")).alias("s")).select("s.*")
     groups = each.groupBy("kind", *LABELERS, "shape").agg(F.count("*").alias("n")).collect()
     counts = sorted((r.asDict() for r in groups), key=lambda r: [r[k] for k in ("kind", *LABELERS, "shape")])
     return classifier(counts)
@@ -232,7 +241,7 @@ def chosen(weights: dict[str, float]) -> Column:
         return score > 0
 
     brief = lambda a: F.transform(a, lambda x: F.struct(x["start"], x["kind"], x["end"]))
-    return F.array_sort(F.concat(brief(F.col("pii_base")), brief(F.filter("pii_more", taken))))
+    return F.array_sort(F.concat(brief(F.col("base")), brief(F.filter("more", taken))))
 
 
 def said(spans: Column) -> Column:
@@ -244,37 +253,43 @@ def op8_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's spans.
 
     Null or empty text: no spans, empty strings' hash. Null doc_id and repeated rows: rows like any
-    other. No documents: no rows; without spans no candidate is taken.
+    other. No documents: no rows; without spans no candidate is taken. Other columns are ignored.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = stash(with_spans(docs).drop("text"), "pii")
+    spans = stash(with_spans(docs).select("doc.doc_id", "base", "more"), "pii")
     weights = train(spans)
-    base = F.array_sort(F.transform("pii_base", lambda x: F.struct(x["start"], x["kind"], x["end"])))
-    count = lambda k: F.size(F.filter("pii_base", lambda x: x["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return spans.select("doc_id", *[count(k) for k in BASE], F.sha2(F.encode(said(base), "UTF-8"), 256).alias("base_sha256"), said(chosen(weights)).alias("spans"))
+    base = F.array_sort(F.transform("base", lambda x: F.struct(x["start"], x["kind"], x["end"])))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    out = spans.select("doc_id", *[count(k) for k in BASE], F.sha2(F.encode(said(base), "UTF-8"), 256).alias("base_sha256"), chosen(weights).alias("all"))
+    return out.select("doc_id", *[f"n_{k}" for k in BASE], "base_sha256", said(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans become one."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.get(names, x["kind"]))
+        more = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.get(names, x["kind"])))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.aggregate(spans, begin, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), ""))
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced; n_chars follows the text where the text changes."""
-    found = with_spans(docs)
-    votes = stash(found.select("pii_base", "pii_more"), "pii")
-    weights = train(votes)
-    new = found.withColumn("pii_all", chosen(weights))
-    new = new.withColumn("pii_new", F.when(F.size("pii_all") > 0, redacted(F.col("text"), F.col("pii_all"))).otherwise(F.col("text")))
-    columns = {"text": F.col("pii_new")}
+    """All documents, personal data replaced; n_chars follows the text where the text changes.
+
+    Null or empty text: as it is. Null doc_id and repeated rows: rows like any other. An empty table
+    gives no rows. Other columns pass through, whatever their names.
+    """
+    # Spans stand with their documents, so that the patterns run once.
+    found = stash(with_spans(docs), "pii")
+    weights = train(found)
+    new = found.select("doc", chosen(weights).alias("all"))
+    text = F.col("doc.text")
+    new = new.select("doc", "all", F.when(F.size("all") > 0, redacted(text, F.col("all"))).otherwise(text).alias("text"))
+    columns = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.size("pii_all") > 0, F.length("pii_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return new.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+        columns["n_chars"] = F.when(F.size("all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    return new.select(*[columns.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
