@@ -54,49 +54,55 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix", tie: tuple[str, ...] = ()) -> DataFrame:
     """Add source_size, target, taken (all of size's unit) to rows that have doc_id, source, size (long).
 
-    Null doc_id: a document like any other, with the key of the word "null". Null source: a source
-    of its own. Equal doc_ids have equal keys and stand by size, then by the columns in `tie`;
-    repeated rows are rows of their own. An empty table gives an empty result; a source of size 0
-    has target 0. Other columns pass through, except for those of the result's names, which are
-    replaced. The result is a function of the rows: it does not depend on partitions or reruns.
+    Null doc_id: a document like any other, with a key of its size and the columns in `tie`, so that
+    many of them spread. Null source: a source of its own. Equal doc_ids have equal keys and stand by size, then
+    by the columns in `tie`; repeated rows are rows of their own. An empty table gives an empty result; a
+    source of size 0 has target 0. Other columns pass through, whatever their names, except for those
+    of the result's names, which are replaced. The result is a function of the rows: it does not
+    depend on partitions or reruns.
     """
-    named = [c for c in sized.columns if c not in ("source_size", "target", "taken", "skey", "mix_key", "mix_bucket")]
+    named = [c for c in sized.columns if c not in ("source_size", "target", "taken")]
+    # All columns of the caller stand in one struct, so that no name of theirs can clash.
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("null"), *[F.col(c).cast("string") for c in ("size", *tie)]))
     rows = sized.select(
-        *named,
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
-        F.md5(F.encode(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "UTF-8")).alias("mix_key"),
-    ).withColumn("mix_bucket", F.substring("mix_key", 1, BUCKET_DIGITS))
-    buckets = rows.groupBy("skey", "mix_bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
+        F.struct(*[F.col(c) for c in named]).alias("row"), "size", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
+        F.md5(F.encode(F.concat_ws(":", F.lit(seed), own), "UTF-8")).alias("key"),
+    ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    buckets = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("row.source").alias("source"))
     sources = buckets.groupBy("skey").agg(F.sum("bucket_size").alias("source_size"), F.first("source").alias("source"))
     targets = source_targets(sources, weights, share, most)
-    ahead = Window.partitionBy("skey").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).select("skey", "mix_bucket", "bucket_start").join(targets, "skey")
-    within = Window.partitionBy("skey", "mix_bucket").orderBy("mix_key", "doc_id", "size", *tie).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["skey", "mix_bucket"])
+    ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).select("skey", "bucket", "bucket_start").join(targets, "skey")
+    within = Window.partitionBy("skey", "bucket").orderBy("key", "row.doc_id", "size", *[f"row.{c}" for c in tie]).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("in_bucket", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["skey", "bucket"])
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     start = F.col("bucket_start") + F.col("in_bucket")
     left = budget - epochs * F.col("source_size") - start
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return out.select(*named, "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select(*[F.col("row")[c].alias(c) for c in named], "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix")
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    sized = stash(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), spread.alias("spread")), "mix")
+    return mix(sized, tie=("spread",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: once for each epoch that takes at least half of a document's words.
 
-    Documents without words stay once: they cost no budget.
+    Documents without words (null or empty texts) stay once: they cost no budget. Null doc_id or source: as
+    mix() has them. Repeated rows: rows of their own. An empty table gives no rows. Other columns pass
+    through, whatever their names.
     """
-    keep = docs.columns
-    sized = docs.withColumn("size", n_words(F.col("text"))).withColumn("text_md5", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select(F.struct("*").alias("doc"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.encode(text, "UTF-8")).alias("text_md5"))
     mixed = mix(sized, tie=("text_md5",))
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    return mixed.withColumn("times", times).where("times > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*keep)
+    again = mixed.select("doc", times.alias("times")).where("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("again"))
+    return again.select("doc.*")
 
 
 ORACLE = r"""
