@@ -7,13 +7,16 @@ import ctypes
 import gc
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stash import discard, shared_dir, stash
+
+__all__ = ["BLANKS", "claim", "discard", "n_words", "shared_dir", "ship", "stash", "table", "utf8"]
+
 #: The characters that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = "\\x20\\x09-\\x0D"
 
@@ -22,39 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A folder of our own only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="kgweave-"))
-        found = _OWN_DIR[0]
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kgweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what stash() wrote, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/kgweave-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-
 #: Texts go to Python workers in batches of so many bytes, where the session has no setting of its own.
-BATCH_BYTES, _OURS, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "8m", "67108864b"
+BATCH_BYTES, _OURS, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -78,15 +50,28 @@ def ship(spark: SparkSession) -> SparkSession:
 _HELD: dict[str, Callable[[], None]] = {}
 
 
-def claim(owner: str, clear: Callable[[], None]) -> None:
+def frugal() -> None:
+    """Once for each Python worker: memory that is freed goes back to the system, where the C library can do that."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        # Fixed values of glibc: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD and M_ARENA_MAX.
+        c = ctypes.CDLL(None)
+        for option, value in ((-3, 4 << 20), (-1, 8 << 20), (-8, 1)):
+            c.mallopt(option, value)
+
+
+def claim(owner: str, clear: Callable[[], None] = lambda: None) -> None:
     """Called where an operator's task starts in a Python worker: what other operators remember there is dropped."""
+    if not _HELD:
+        frugal()
     others = [k for k in _HELD if k != owner]
     for other in others:
         _HELD.pop(other)()
     if others:
         gc.collect()
         with contextlib.suppress(OSError, AttributeError):
-            # Free memory goes back to the system; where the C library can't, it is used again.
             ctypes.CDLL(None).malloc_trim(0)
     _HELD[owner] = clear
 

@@ -50,6 +50,8 @@ MOST_UNLIKE = 46
 SKETCH = [f"s{k}" for k in range(VALUES // 16)]
 GROUPS, LEVELS = 128, 4
 PROFILE = [f"p{k}" for k in range(GROUPS * LEVELS // 64)]
+#: Places in which shingles are counted to put rare ones first: 8 MB.
+COUNTED = 1 << 20
 #: Up to so many ids (8 bytes each) the list of documents to be compared is broadcast; beyond it, joined.
 MOST_BROADCAST = 1_000_000
 
@@ -58,21 +60,6 @@ _ODD = lambda n: _RANDOM.randint(0, 1 << 62, n, np.int64).astype(np.uint64) * np
 _PLACE, _SCALE, _SHIFT, _LENGTH = _ODD(SHINGLE), _ODD(VALUES), _ODD(VALUES), _ODD(1)[0]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
-
-    MOST = 150_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -83,7 +70,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(h) - SHINGLE + 1
     if n < 1:
         return mixed((h * _PLACE[: len(h)]).sum(keepdims=True) + np.full(1, len(h), np.uint64) * _LENGTH)
@@ -127,7 +114,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (hex of the set's 128-bit hash; null if empty), sig, and the sketch's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("neardup", _WORDS.clear)
+        claim("neardup")
         for batch in batches:
             sizes, keys, sigs = [], [], []
             for text in batch.column(1).to_pylist():
@@ -215,7 +202,7 @@ def profiles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """
 
     def each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("neardup", _WORDS.clear)
+        claim("neardup")
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
@@ -240,30 +227,41 @@ def profiles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def rare_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """region (a shingle), node, n: of each set of n shingles the n // 4 + 1 that the fewest of the nodes have.
+    """region (a shingle), node, n: of each set of n shingles the n // 4 + 1 that come first in one order of all shingles.
 
-    A link takes 3 / 4 of either set in common, so that in one order for all, two linked sets have a
-    shingle in common among so many of their first. Those that no other node has come first and are left out,
-    as they meet none.
+    A link takes 3 / 4 of either set in common, so that two linked sets have a shingle in common among so
+    many of their first, whatever the order. Ours puts rare ones first: by how many shingles of the nodes
+    fall into the same of COUNTED places, then by the hash itself. The counts are a table of bounded size,
+    so each document picks its own shingles where it is read, and only those are dealt out.
     """
 
-    def each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("neardup", _WORDS.clear)
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("neardup")
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            place, c = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]) % np.uint64(COUNTED), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(c.astype(np.int64))], names=["place", "c"])
+
+    texts = texts_of(nodes, docs)
+    # COUNTED rows at most.
+    rows = texts.mapInArrow(counting, "place long, c long").groupBy("place").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(COUNTED, np.int64)
+    counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("neardup")
+        often = shared.value
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_set(t) for t in part.column(1).to_pylist()]
-                sizes = np.array([len(x) for x in sets], np.int64)
-                keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                columns = [np.concatenate(sets).view(np.int64), *(np.repeat(c, sizes) for c in (part.column(0).to_numpy(), keys, sizes))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["region", "node", "own", "n"])
+                kept = [s[np.lexsort((s, often[(s % np.uint64(COUNTED)).astype(np.int64)]))[: len(s) // 4 + 1]] for s in sets]
+                sizes = [len(x) for x in kept]
+                columns = [np.concatenate(kept).view(np.int64), np.repeat(part.column(0).to_numpy(), sizes), np.repeat(np.array([len(s) for s in sets], np.int64), sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["region", "node", "n"])
 
-    each = stash(texts_of(nodes, docs).mapInArrow(each_shingle, "region long, node long, own long, n long"), "shingles")
-    counts = each.groupBy("region").agg(F.count("*").alias("c")).where("c > 1")
-    # Counted from the most frequent on. Rows with one id may repeat a set: equal shingles take one place.
-    order = Window.partitionBy("node", "own").orderBy(F.col("c").desc(), F.col("region").desc())
-    rare = each.join(counts, "region").withColumn("place", F.dense_rank().over(order)).where("place >= n - n div 4")
-    return rare.select("region", "node", "n").distinct()
+    return texts.mapInArrow(first, "region long, node long, n long").distinct()
 
 
 def unresolved(keyed: DataFrame) -> DataFrame:
@@ -309,7 +307,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame | None = Non
                 yield batch.select([0, 1]).filter(pa.array((x == y).mean(1) >= LEAST_AGREEMENT))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("neardup", _WORDS.clear)
+        claim("neardup")
         sets: dict[int, np.ndarray] = {}
 
         def of(doc: int, text: str) -> np.ndarray:
