@@ -15,6 +15,8 @@ block, the block's bits permuted to the front, finds all of them by equality.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ from .common import BLANKS, stash, table, utf8
 
 BITS = 128
 LANES, LOW = 0x0001000100010001, 0xFFFF
-#: 4 votes at most for each word stay under 2 ** 16.
-CHUNK = 16_000
+#: 4 votes at most for each word: the topmost of four lanes stays under 2 ** 15, as the sums are signed.
+CHUNK = 8_191
 RADIUS = 3
 #: Queries of the neighbour search: ids divisible by this, against all rows.
 QUERY_STEP = 50
@@ -89,63 +91,85 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = RADIUS) ->
     return near.select("q_a", "q_b", "fp_a", "fp_b").distinct()
 
 
+KEY = ["k", "h", "g"]
+
+
 def followers(ids: DataFrame) -> DataFrame:
-    """k, nth, next_k, next_nth from rows k, nth: who comes next by descending k, then nth; after the last, the first.
+    """KEY, and the next row's as next_k, next_h, next_g: by descending k, then h and g; after the last, the first. ids: distinct KEY.
 
     Rows are dealt by range; each looks ahead within its range, and a range's last row takes the
     first one of the next range, from a table of one row for each range.
     """
-    order = [F.col("k").desc(), F.col("nth")]
+    order = [F.col("k").desc(), F.col("h").desc(), F.col("g").desc()]
     dealt = stash(ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "order")
     ahead = Window.partitionBy("part").orderBy(*order)
-    first = dealt.groupBy("part").agg(F.max(F.struct("k", (-F.col("nth")).alias("back"))).alias("f"))
-    first = first.select("part", F.col("f.k").alias("first_k"), (-F.col("f.back")).alias("first_nth"))
+    key = F.struct(*KEY)
     turn = Window.orderBy("part")
     whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = first.select("part", *[F.coalesce(F.lead(c).over(turn), F.first(c).over(whole)).alias(c) for c in ("first_k", "first_nth")])
-    out = dealt.select("part", "k", "nth", F.lead("k").over(ahead).alias("in_k"), F.lead("nth").over(ahead).alias("in_nth")).join(after, "part")
-    return out.select("k", "nth", F.coalesce("in_k", "first_k").alias("next_k"), F.coalesce("in_nth", "first_nth").alias("next_nth"))
+    first = dealt.groupBy("part").agg(F.max(key).alias("f"))
+    after = first.select("part", F.coalesce(F.lead("f").over(turn), F.first("f").over(whole)).alias("f"))
+    out = dealt.select("part", *KEY, F.lead(key).over(ahead).alias("n")).join(after, "part").withColumn("n", F.coalesce("n", "f"))
+    return out.select(*KEY, *[F.col(f"n.{c}").alias(f"next_{c}") for c in KEY])
+
+
+def named(df: DataFrame, prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{prefix}_{c}" for c in KEY})
+
+
+def on_key(prefix: str) -> Column:
+    return reduce(Column.__and__, [F.col(c) == F.col(f"{prefix}_{c}") for c in KEY])
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """The query's columns for every row of docs (doc_id, text).
 
     Null or empty text: no terms, all bits 0, likeness 1 to others of that kind. Null doc_id: last in
-    descending order. Rows with one doc_id follow each other by their text's hash. A single row's next
-    document is itself. An empty table gives no rows. Other columns are ignored.
+    descending order. Rows with one doc_id follow each other by their text's hashes; repeated rows (one id, one
+    text) follow each other, so all but one of them have their own text next. A single row's next document
+    is itself. An empty table gives no rows. Other columns are ignored.
+
+    Work is done once for each id and text, so that an id or a repeated row that many rows share
+    (null ids, say) is dealt like others.
     """
     lowest = -(1 << 63)
-    # Both uses of the texts read the same columns, so that they are dealt once.
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("h", F.xxhash64("text"))
-    nth = F.row_number().over(Window.partitionBy("k").orderBy("h"))
-    whole = base.withColumn("nth", nth)
-    ids = base.select("k", "h").withColumn("nth", nth).select("k", "nth")
-    links = stash(followers(ids), "links")
-    # The key alone is the join's key, so that texts are dealt once; nth only tells repeated ids apart.
-    next_of = links.toDF("l_k", "l_nth", "next_k", "next_nth")
-    this = whole.join(next_of, (F.col("k") == F.col("l_k")) & (F.col("nth") - F.col("l_nth") == 0))
-    this = this.select("k", "nth", F.length("text").alias("n"), "next_k", "next_nth", "text")
-    needs = this.select(F.col("k").alias("g_k"), F.col("nth").alias("g_nth"), F.col("next_k").alias("w_k"), F.col("next_nth").alias("w_nth"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-    given = needs.join(whole.select("k", "nth", "text"), (F.col("w_k") == F.col("k")) & (F.col("w_nth") - F.col("nth") == 0))
-    given = given.select("g_k", "g_nth", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("tail"))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - F.floor(F.col("n") / 2).cast("int")), F.col("tail"))
-    copies = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), edited.alias("text")))
-    both = this.join(given, (F.col("k") == F.col("g_k")) & (F.col("nth") - F.col("g_nth") == 0)).select("k", "nth", "n", "next_k", "next_nth", F.explode(copies).alias("v"))
-    keys = ["k", "nth", "n", "next_k", "next_nth", "which", "sha"]
-    rows = both.select(*keys[:5], F.col("v.which").alias("which"), F.when(F.col("v.which") == 1, F.sha2(utf8(F.col("v.text")), 256)).alias("sha"), F.col("v.text").alias("text"))
-    fps = stash(fingerprints(rows, keys).withColumn("doc_id", F.when(F.col("k") > lowest, F.col("k"))), "fps")
-    mine, new = fps.where("which = 0"), fps.where("which = 1").select("k", "nth", F.col("fp_a").alias("e_a"), F.col("fp_b").alias("e_b"), F.col("sha").alias("e_sha"))
-    after = mine.select(F.col("k").alias("next_k"), F.col("nth").alias("next_nth"), F.col("fp_a").alias("n_a"), F.col("fp_b").alias("n_b"))
-    found = within_radius(mine.where(F.col("doc_id") % QUERY_STEP == 0), mine).where("q_a <> fp_a OR q_b <> fp_b")
+    base = base.withColumn("h", F.xxhash64("text")).withColumn("g", F.hash("text"))
+    rows = stash(base.select(*KEY).withColumn("row", F.monotonically_increasing_id()), "rows")
+    sets = rows.groupBy(*KEY).agg(F.count("*").alias("copies"), F.max("row").alias("last"))
+    links = stash(sets.join(named(followers(sets.select(*KEY)), "l"), on_key("l")).drop("l_k", "l_h", "l_g"), "links")
+    # Both uses of the texts are one aggregate, so that they are dealt once.
+    whole = base.groupBy(*KEY).agg(F.first("text").alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    this = whole.join(named(links.drop("last"), "l"), on_key("l")).select(*KEY, "copies", "next_k", "next_h", "next_g", F.length("text").alias("n"), half.alias("half"), "text")
+    needs = this.select(*[F.col(c).alias(f"w_{c}") for c in KEY], F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("next_g").alias("g"), "half")
+    given = needs.join(whole, KEY).select("w_k", "w_h", "w_g", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("tail"))
+    start = F.substring(F.col("text"), F.lit(1), F.col("n") - F.col("half"))
+    copy = lambda which, text: F.struct(F.lit(which).alias("which"), text.alias("text"))
+    copies = F.array(copy(0, F.col("text")), copy(1, F.concat(start, F.col("tail"))))
+    # Repeated rows come before themselves.
+    own = F.array(copy(2, F.concat(start, F.substring(F.col("text"), F.lit(1), F.col("half")))))
+    both = this.join(given, on_key("w")).select(*KEY, "n", F.explode(F.when(F.col("copies") > 1, F.concat(copies, own)).otherwise(copies)).alias("v"))
+    keys = [*KEY, "n", "which", "sha"]
+    each = both.select(*KEY, "n", F.col("v.which").alias("which"), F.when(F.col("v.which") > 0, F.sha2(utf8(F.col("v.text")), 256)).alias("sha"), F.col("v.text").alias("text"))
+    fps = stash(fingerprints(each, keys), "fps")
+    mine = fps.where("which = 0").select(*KEY, "n", "fp_a", "fp_b")
+    new = fps.where("which > 0").select(*KEY, "which", F.col("fp_a").alias("e_a"), F.col("fp_b").alias("e_b"), F.col("sha").alias("e_sha"))
+    after = mine.select(*[F.col(c).alias(f"next_{c}") for c in KEY], F.col("fp_a").alias("n_a"), F.col("fp_b").alias("n_b"))
+    searched = (F.col("k") % QUERY_STEP == 0) & (F.col("k") > lowest)
+    found = within_radius(mine.where(searched), mine).where("q_a <> fp_a OR q_b <> fp_b")
     counts = found.groupBy(F.col("q_a").alias("fp_a"), F.col("q_b").alias("fp_b")).agg(F.count("*").alias("found"))
-    out = mine.join(new, ["k", "nth"]).join(after, ["next_k", "next_nth"]).join(counts, ["fp_a", "fp_b"], "left")
+    known = mine.join(links, KEY).join(after, ["next_k", "next_h", "next_g"]).join(new, KEY)
+    # Of each id and text two results: that of the last of its rows, and that of the others.
+    known = known.withColumn("n_a", F.when(F.col("which") == 2, F.col("fp_a")).otherwise(F.col("n_a"))).withColumn("n_b", F.when(F.col("which") == 2, F.col("fp_b")).otherwise(F.col("n_b")))
+    known = known.join(counts, ["fp_a", "fp_b"], "left")
     c = F.col
-    return out.select(
-        "doc_id", c("n").cast("long").alias("n_chars"), c("e_sha").alias("edited_sha256"), as_text(c("fp_a"), c("fp_b")).alias("fingerprint"), as_text(c("e_a"), c("e_b")).alias("edited_fingerprint"),
-        likeness(c("fp_a"), c("fp_b"), c("e_a"), c("e_b")).alias("near_edited"), likeness(c("fp_a"), c("fp_b"), c("n_a"), c("n_b")).alias("near_next"),
-        F.when(c("doc_id") % QUERY_STEP == 0, F.coalesce("found", F.lit(0))).alias("n_within_radius"),
+    known = known.select(
+        *KEY, "which", "last", F.when(c("k") > lowest, c("k")).alias("doc_id"), c("n").cast("long").alias("n_chars"), c("e_sha").alias("edited_sha256"), as_text(c("fp_a"), c("fp_b")).alias("fingerprint"),
+        as_text(c("e_a"), c("e_b")).alias("edited_fingerprint"), likeness(c("fp_a"), c("fp_b"), c("e_a"), c("e_b")).alias("near_edited"), likeness(c("fp_a"), c("fp_b"), c("n_a"), c("n_b")).alias("near_next"),
+        F.when(searched, F.coalesce("found", F.lit(0))).alias("n_within_radius"),
     )
+    of_row = F.when(F.col("row") == F.col("last"), 1).otherwise(2) == F.col("which")
+    return rows.join(known, KEY).where(of_row).drop(*KEY, "row", "which", "last")
 
 
 def op4_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

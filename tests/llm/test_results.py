@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kgweave.llm import common, fingerprints, html, jpeg, language, mixing, neardup, packing, private, sharding, toxicity
@@ -39,13 +40,48 @@ def test_toxicity_held_out(spark, plain):
     assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= 0.9 * len(held)
 
 
-def test_machine_learns_a_product():
-    """Toxic where exactly both words meet, or neither does: no linear weights can tell."""
-    a, b = toxicity.terms("alpha")[0], toxicity.terms("beta")[0]
-    docs = [np.array(sorted({*([a] if k & 1 else []), *([b] if k & 2 else [])}), np.uint32) for k in range(4)] * 60
-    m = toxicity.Machine(0.0, np.zeros((1 << toxicity.BITS, toxicity.FACTORS + 1), np.float32))
-    m.table[a, 1], m.table[b, 1], m.table[a, 0], m.table[b, 0], m.bias = 4, 4, -8, -8, 4
-    assert ((m.score(docs) > 0.5) == ([True, False, False, True] * 60)).all()
+def products(r, n):
+    """Toxic where both words meet or neither stands: no linear weights can tell."""
+    docs, labels = [], []
+    for _ in range(n):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = [f"filler{chr(97 + r.randint(0, 25))}{chr(97 + r.randint(0, 2))}" for _ in range(20)] + ["alpha"] * a + ["beta"] * b
+        docs.append(toxicity.terms(" ".join(words)))
+        labels.append(float(a == b))
+    return docs, np.array(labels)
+
+
+def test_trained_machine_learns_a_product():
+    r = random.Random(3)
+    docs, labels = products(r, 800)
+    held, truth = products(r, 400)
+    right = {p: ((toxicity.train(docs, labels, np.ones(len(labels)), products=p).score(held) >= 0.5) == truth).mean() for p in (True, False)}
+    assert right[True] >= 0.95 and right[False] <= 0.65
+
+
+def test_neutral_word_counts_beside_an_insult():
+    """The label needs an insult and the mention of a group; both stand alone as often in clean texts."""
+    r = random.Random(5)
+
+    def make(n):
+        docs, labels = [], []
+        for _ in range(n):
+            toxic = r.random() < 0.3
+            insult, group = (True, True) if toxic else r.choice([(True, False), (False, True), (False, False), (False, True)])
+            docs.append(toxicity.terms(" ".join([f"w{chr(97 + r.randint(0, 25))}" for _ in range(15)] + ["blockhead"] * insult + ["northerners"] * group)))
+            labels.append(float(toxic))
+        return docs, np.array(labels)
+
+    docs, labels = make(900)
+    held, truth = make(400)
+    assert ((toxicity.train(docs, labels, np.ones(len(labels))).score(held) >= 0.5) == truth).mean() >= 0.97
+
+
+def test_sample_is_bounded_for_repeated_ids(spark):
+    docs = spark.createDataFrame([(k // 20, f"text {k}") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, toxic int")
+    found, _ = toxicity.sample(docs, labels, per_label=3)
+    assert sorted(Counter(y for _, y in found).items()) == [(0, 3), (1, 3)]
 
 
 def media_payload(text):
@@ -303,6 +339,54 @@ def test_edited_texts_and_fingerprints(spark, plain):
     assert sum(r["near_edited"] for r in got.values()) > sum(r["near_next"] for r in got.values()) + 0.05 * len(got)
 
 
+def fingerprint_of(text):
+    """All votes counted one by one, in plain Python."""
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    votes, total = [0] * 128, 0
+    for a, b in zip(words, [*words[1:], None]):
+        h = xxhash.xxh64_intdigest(a.encode(), 42)
+        h = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
+        weight = min(int((len(a.encode()) + len((b or "").encode())) / 5), 3)
+        term = struct.pack("<q", signed(h) & -4 | weight)
+        one = xxhash.xxh64_intdigest(term, 42)
+        two = xxhash.xxh64_intdigest(struct.pack("<i", fingerprints.SEED), one)
+        total += weight + 1
+        for i in range(64):
+            votes[i] += (weight + 1) * (one >> i & 1)
+            votes[64 + i] += (weight + 1) * (two >> i & 1)
+    return "".join(f"{sum((2 * votes[k + i] > total) << i for i in range(64)):016x}" for k in (0, 64))
+
+
+def test_fingerprints_equal_plain_votes(spark, odd, tmp_path):
+    """Among them texts that repeat one long word so often that a lane would overflow in larger chunks."""
+    texts = ["one", "x y", "", " \t ", "extraordinarily " * 9_000, "incomprehensibility " * 40_000 + "end"]
+    texts += [t or "" for _, t, *_ in documents(spark, odd)[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in fingerprints.fingerprint_edits(docs).collect():
+        assert r["fingerprint"] == fingerprint_of(texts[r["doc_id"]])
+        nxt = texts[r["doc_id"] - 1]
+        n = len(texts[r["doc_id"]])
+        edited = texts[r["doc_id"]][: n - n // 2] + nxt[: n // 2]
+        assert r["edited_fingerprint"] == fingerprint_of(edited)
+
+
+def test_repeated_rows_and_null_ids_follow_each_other(spark):
+    """Repeated rows stand before themselves; the last of them before the next text."""
+    docs = [(None, "a b c d e f")] * 5 + [(None, "g h i j")] + [(3, "k l m n o p")] * 4 + [(2, "q r s t")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = fingerprints.fingerprint_edits(frame.withColumns({c: F.lit("other") for c in ("k", "h", "g", "row", "last", "which", "n")})).collect()
+    assert len(got) == len(docs)
+    want = Counter()
+    order = [t for _, t in sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0)))]
+    hashes = {r["text"]: (r["h"], r["g"]) for r in frame.select("text", F.xxhash64("text").alias("h"), F.hash("text").alias("g")).collect()}
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), *(-x for x in hashes[d[1]])))
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        n = len(t)
+        want[i, hashlib.sha256((t[: n - n // 2] + u[: n // 2]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
 def test_all_fingerprints_within_the_radius(spark):
     r = random.Random(3)
     base = [(r.getrandbits(64) - (1 << 63), r.getrandbits(64) - (1 << 63)) for _ in range(20)]
@@ -403,7 +487,7 @@ def test_base_spans_equal_the_patterns(spark):
     r = random.Random(7)
     texts = TRICKY + ["".join(r.choice("ab@.+-_ 0123456789() ") for _ in range(80)) for _ in range(150)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in x["s"]] for x in private.with_spans(docs).select("doc_id", F.array_sort(F.transform("pii_base", lambda s: F.struct(s["start"], s["kind"], s["end"]))).alias("s")).collect()}
+    got = {x["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in x["s"]] for x in private.with_spans(docs).select("doc.doc_id", F.array_sort(F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"]))).alias("s")).collect()}
     for k, t in enumerate(texts):
         assert got[k] == [s[:3] for s in base_spans(t)], t
 
