@@ -42,7 +42,7 @@ SPREAD = 0.01
 #: this, or if with another term the interaction's is LEAST_PAIR_CHI2 (higher, as there are millions of pairs).
 LEAST_DOCUMENTS, LEAST_CHI2, LEAST_PAIR_CHI2 = 3, 8.0, 45.0
 #: Pairs are looked at among the terms that tell alone and all that this part of the sample has.
-PAIRED_SHARE = 0.02
+PAIRED_SHARE = 0.05
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -110,28 +110,33 @@ def telling(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 def paired(docs: list[np.ndarray], labels: np.ndarray, met: np.ndarray, step: int = 512) -> np.ndarray:
     """Which of the places `met` interact with another: the label's shares in the four cells of a pair, p11 - p10 - p01 + p00,
-    against their spread if both had nothing to do with the label."""
-    place = np.full(1 << BITS, -1, np.int64)
+    against their spread if both had nothing to do with the label. Blocks of step by step pairs at a time."""
+    place = np.full(1 << BITS, -1, np.int32)
     place[met] = np.arange(len(met))
-    has = np.zeros((len(docs), len(met)), np.float32)
+    has = np.zeros((len(docs), len(met)), bool)
     for k, d in enumerate(docs):
         own = place[d]
-        has[k, own[own >= 0]] = 1
-    n, one = len(docs), float(labels.sum())
+        has[k, own[own >= 0]] = True
+    n, one, mark = np.float32(len(docs)), np.float32(labels.sum()), labels.astype(np.float32)
     share = one / n
-    toxic = has[labels > 0]
-    count, hit = has.sum(0), toxic.sum(0)
     found = np.zeros(len(met), bool)
     for at in range(0, len(met), step):
-        i = slice(at, at + step)
-        n11, t11 = has[:, i].T @ has, toxic[:, i].T @ toxic
-        n10, t10, n01, t01 = count[i, None] - n11, hit[i, None] - t11, count - n11, hit - t11
-        n00, t00 = n - n11 - n10 - n01, one - t11 - t10 - t01
-        enough = np.minimum(np.minimum(n11, n10), np.minimum(n01, n00)) >= 5
-        cells = [np.maximum(c, 1) for c in (n11, n10, n01, n00)]
-        contrast = t11 / cells[0] - t10 / cells[1] - t01 / cells[2] + t00 / cells[3]
-        spread = share * (1 - share) * sum(1 / c for c in cells)
-        found[i] |= (enough & (contrast**2 >= LEAST_PAIR_CHI2 * spread)).any(1)
+        x = has[:, at : at + step].astype(np.float32)
+        for beside in range(at, len(met), step):
+            y = has[:, beside : beside + step].astype(np.float32)
+            n11, t11 = x.T @ y, (x * mark[:, None]).T @ y
+            n10, t10 = x.sum(0)[:, None] - n11, (mark @ x)[:, None] - t11
+            n01, t01 = y.sum(0) - n11, mark @ y - t11
+            n00, t00 = n - n11 - n10 - n01, one - t11 - t10 - t01
+            enough = np.minimum(np.minimum(n11, n10), np.minimum(n01, n00)) >= 5
+            contrast, spread = np.float32(0), np.float32(0)
+            for sign, c, t in ((1, n11, t11), (-1, n10, t10), (-1, n01, t01), (1, n00, t00)):
+                c = np.maximum(c, 1)
+                contrast = contrast + sign * t / c
+                spread = spread + share * (1 - share) / c
+            good = enough & (contrast**2 >= LEAST_PAIR_CHI2 * spread)
+            found[at : at + step] |= good.any(1)
+            found[beside : beside + step] |= good.any(0)
     return found
 
 
