@@ -26,6 +26,8 @@ N_SHARDS = 24
 DIMENSIONS = ("kd_id", "kd_size", "kd_source", "kd_lang")
 BIN_BITS = 12
 VALUE_BITS, TIE_BITS = 31, 32
+#: Groups of equal texts stay together up to this part of a shard's bytes.
+GROUP_PART = 8
 #: Slots are counted in so many parts of each shard.
 SLOT_PARTS = 1024
 #: A cut is off by half of this part of a shard at most, unless one document is larger.
@@ -117,36 +119,56 @@ def split_all(points: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 
 
 def points_of(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, and the scaled metadata. Nulls stand at 0; sizes are on a log scale."""
+    """doc_id, size, text_crc32, kd_row (a number of its own), kd_text (the text's hash), and metadata. Null names stand at 0."""
+    text = utf8(F.col("text"))
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 8
     code = lambda c: (F.crc32(F.encode(F.coalesce(F.col(c), F.lit("")), "UTF-8")) / F.lit(4294967295.0)).alias(f"kd_{c}")
-    base = docs.select("doc_id", size.alias("size"), F.crc32(utf8(F.col("text"))).alias("text_crc32"), code("source"), code("lang"))
-    return base.withColumn("kd_tie", F.xxhash64("doc_id", "text_crc32").bitwiseAND(F.lit((1 << TIE_BITS) - 1)))
+    return docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("kd_row"), F.xxhash64(text).alias("kd_text"), code("source"), code("lang"))
+
+
+def grouped(base: DataFrame, n_shards: int) -> DataFrame:
+    """base with kd_tie, and doc_id's place, source and language of the group: those of its least row.
+
+    Groups with more than that part of the bytes or of the rows (many empty texts, say) are few, 2 * GROUP_PART * n_shards at most;
+    their rows are points of their own.
+    """
+    total, n = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    parts = GROUP_PART * n_shards
+    large = base.groupBy("kd_text").agg(F.sum("size").alias("kd_bytes"), F.count("*").alias("kd_rows")).where((F.col("kd_rows") > 1) & ((F.col("kd_bytes") > total // parts) | (F.col("kd_rows") > n // parts)))
+    large = large.select("kd_text").withColumn("kd_large", F.lit(True))
+    marked = base.join(F.broadcast(large), "kd_text", "left")
+    marked = marked.withColumn("kd_key", F.when(F.col("kd_large"), F.xxhash64("kd_text", "kd_row")).otherwise(F.col("kd_text")))
+    group = Window.partitionBy("kd_key")
+    least = F.min(F.struct(F.col("doc_id").cast("double").alias("kd_id"), "kd_source", "kd_lang")).over(group)
+    out = marked.withColumn("kd_least", least).withColumn("kd_tie", F.xxhash64("kd_key").bitwiseAND(F.lit((1 << TIE_BITS) - 1)))
+    return out.select("doc_id", "size", "text_crc32", "kd_row", "kd_tie", "kd_least.*")
 
 
 def scaled(base: DataFrame) -> DataFrame:
     """Id and log size brought to the range 0 to 1, as the hashed names are."""
-    r = base.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double"), F.max("size").cast("double")).first()
+    r = base.agg(F.min("kd_id"), F.max("kd_id"), F.max("size").cast("double")).first()
     low, high, largest = (float(x) if x is not None else 0.0 for x in r)
-    kd_id = (F.coalesce(F.col("doc_id").cast("double"), F.lit(low)) - F.lit(low)) / F.lit(high - low or 1.0)
+    kd_id = (F.coalesce(F.col("kd_id"), F.lit(low)) - F.lit(low)) / F.lit(high - low or 1.0)
     return base.withColumn("kd_id", kd_id).withColumn("kd_size", F.log2("size") / F.lit(math.log2(max(2.0, largest))))
 
 
 def shard(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """Return doc_id, size, text_crc32, shard, slot for every row of docs (doc_id, text, source, lang).
 
-    Null text: size 8. Null doc_id, source or lang: a value of its own. Repeated rows are rows of
-    their own (with one key, so they stay together). Empty tables give no rows. Fewer rows than
-    shards: some shards stay empty. Other columns are ignored. Slots count from 0 without gaps
-    within a shard, by part of the shard, then doc_id, checksum and size.
+    Null text: size 8, equal to an empty one. Null doc_id, source or lang: a value of its own. Repeated rows are rows
+    of their own. Equal texts are in one shard, unless they have more than 1 / GROUP_PART of a shard's
+    bytes or rows. Empty tables give no rows. Fewer rows than shards: some shards stay empty. Other columns are
+    ignored. Slots count from 0 without gaps within a shard, by part of the shard, then doc_id,
+    checksum and the row's place in the table.
     """
     base = stash(points_of(docs), "kd")
-    points = scaled(base)
-    placed = split_all(points, n_shards).select("doc_id", "size", "text_crc32", F.col("kd_node").alias("shard"), F.pmod("kd_tie", F.lit(SLOT_PARTS)).cast("int").alias("part"))
+    points = scaled(stash(grouped(base, n_shards), "kd"))
+    part = F.pmod(F.xxhash64("kd_row"), F.lit(SLOT_PARTS)).cast("int")
+    placed = split_all(points, n_shards).select("doc_id", "size", "text_crc32", "kd_row", F.col("kd_node").alias("shard"), part.alias("part"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "kd_row")
     return placed.withColumn("nth", F.row_number().over(within) - 1).join(starts, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("nth")).cast("long").alias("slot"))
 
 

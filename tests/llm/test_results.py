@@ -427,9 +427,25 @@ def test_shards(spark, plain):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in got)
 
 
+def test_equal_texts_share_a_shard(spark):
+    """All but a group too large for that; the sizes stay near equal."""
+    r = random.Random(8)
+    texts = [prose(r, "en", r.randint(5, 60)) for _ in range(4000)]
+    texts += [t for t in texts[:60] for _ in range(r.randint(1, 3))] + ["the same passage again " * 4] * 1500 + [None, ""] * 20
+    docs = spark.createDataFrame([(None if k % 50 == 7 else k, t, r.choice(["en", "de"]), f"s{k % 5}") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = sharding.shard(docs, 6).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    sizes = [x["s"] for x in got]
+    assert max(sizes) - min(sizes) <= 0.08 * sum(sizes) / 6
+    shards = defaultdict(set)
+    for x in sharding.shard(docs, 6).select("text_crc32", "shard").collect():
+        shards[x["text_crc32"]].add(x["shard"])
+    assert [c for c, s in shards.items() if len(s) > 1] == [zlib.crc32(("the same passage again " * 4).encode())]
+
+
 def test_cut_is_the_weighted_median(spark):
     r = random.Random(8)
-    docs = spark.createDataFrame([(k, "x" * r.randint(0, 50), "en", "one") for k in range(400)], "doc_id long, text string, lang string, source string")
+    # Distinct texts: equal ones are one point, and a cut is as fine as a point.
+    docs = spark.createDataFrame([(k, f"{k:03d}" + "x" * r.randint(0, 47), "en", "one") for k in range(400)], "doc_id long, text string, lang string, source string")
     got = sharding.shard(docs, 2).groupBy("shard").agg(F.sum("size").alias("s")).collect()
     assert abs(got[0]["s"] - got[1]["s"]) <= 60
 
