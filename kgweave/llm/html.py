@@ -40,17 +40,24 @@ STOP_WORDS = frozenset(
 )
 #: HTML's void, raw-text and inline elements, and elements that never hold an article's text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas xmp noframes head".split())
+RAW = frozenset("script style textarea title noscript template iframe svg math object canvas xmp noframes".split())
+#: Elements whose text ends only at their end tag, even if that is the end of the page. The others of RAW hold markup: without an end tag
+#: they are passed over as if they weren't there.
+TEXT_ONLY = frozenset("script style textarea title xmp".split())
+#: The elements that a head may hold; any other ends it, as its end tag is optional.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ASIDE = frozenset("nav footer aside form button select option menu dialog fieldset".split()) | RAW
 REGION = frozenset(["article", "main"])
-#: Names, as parts of class and id between marks, and ARIA roles of what isn't the article.
+#: Names that class and id have as their first or last part, and ARIA roles, of what isn't the article.
 NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices
     popup modal overlay newsletter subscribe subscription signup login register sidebar sidenav menu nav navbar navigation navigate breadcrumb breadcrumbs
     footer masthead share sharing social related recommended recommendations comment comments commentlist disqus respond replies reply
     toolbar pagination pager widget search searchbox skip toc tags""".split()
 )
+#: Parts that say what a page or post has or is about; names with them say nothing of the element itself.
+ABOUT = frozenset("has with without no not is category tag topic type format layout template theme js supports enabled".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -69,16 +76,24 @@ class Block:
     good: bool | None = None
 
 
+def is_aside(name: str) -> bool:
+    """Whether one class or id names something other than the article: cookie-notice, siteFooter; not has-sidebar, category-social."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    if not parts or len(parts) > 1 and not ABOUT.isdisjoint(parts):
+        return False
+    return parts[0] in NAMES or parts[-1] in NAMES
+
+
 def set_aside(name: str, attributes: str, in_region: bool) -> bool:
     """Whether an element holds something other than the article."""
-    if name in ASIDE or name == "header" and not in_region:
+    if name in ASIDE or name == "head" or name == "header" and not in_region:
         return True
     if not attributes or name in ("html", "body") or name in REGION and "comment" not in attributes.lower():
         return False
     for key, *values in _MARKS.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key in ("class", "id"):
-            if any(p.lower() in NAMES for p in _PART.findall(value)):
+            if any(map(is_aside, value.split())):
                 return True
         elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -100,6 +115,8 @@ def blocks(html: str) -> list[Block]:
         state.update(linked=0, breaks=0)
 
     def add(text: str) -> None:
+        if open_ and open_[-1][0] == "head" and text and not text.isspace():
+            open_.pop()
         if text and not (open_ and open_[-1][1]):
             text = unescape(text)
             parts.append(text)
@@ -115,6 +132,8 @@ def blocks(html: str) -> list[Block]:
         if not name:
             continue
         name = name.lower()
+        if not end and open_ and open_[-1][0] == "head" and name not in IN_HEAD:
+            open_.pop()
         if name == "br":
             parts.append(" ")
             state["breaks"] += 1
@@ -124,9 +143,9 @@ def blocks(html: str) -> list[Block]:
         if name in RAW and not end:
             if not attributes.endswith("/"):
                 close_tag = _RAW_END[name].search(html, at)
-                if name not in INLINE:
-                    close()
-                at = close_tag.end() if close_tag else len(html)
+                close()
+                if close_tag or name in TEXT_ONLY:
+                    at = close_tag.end() if close_tag else len(html)
             continue
         if name in INLINE:
             if name == "a":

@@ -327,6 +327,30 @@ def test_components(spark):
     assert all(got.get(x, x) == find(x) for x in parent)
 
 
+SENTENCE = "It was the best of the times and it was the worst of the times that we had in this place."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>no</title><meta charset=utf-8><body><article><p>{}</article>",
+        "<html><head><title>no</title><link rel=x href=y><article><p>{}</article><footer>no</footer>",
+        "<head><script>var a = '<p>no</p>'</script><p>{}",
+        "<article><noscript><img src=x><p>{}</p></article>",
+        "<article><svg><p>{}</p></article>",
+        '<div class="layout has-sidebar"><article><p>{}</article></div><div class="sidebar">no</div>',
+        '<div class="post category-social tag-cookies"><article><p>{}</article></div><div class="social-share">no</div>',
+        '<body class="page-with-sidebar no-comments"><nav>no</nav><div id=main><p>{}</div><div class="site-footer">no</div>',
+        '<div class=cookieNotice>no</div><main><p>{}<div class="post-comments"><p>no, it was the best of the times and it was the worst of the times</div></main>',
+        '<header><h1>no</h1></header><article><p>{}<section class=comments><article class=comment><p>no</article></section></article>',
+        "<article><p>{}</p><form><input value=no><label>no</label></form><style>p{{}}</style></article>",
+        "<article><p>{}<ul class='pagination'><li><a href=/2>no</a></ul></article>",
+    ],
+)
+def test_main_text_of_labelled_pages(page):
+    assert html.main_text(page.format(SENTENCE)) == SENTENCE
+
+
 def test_edited_texts_and_fingerprints(spark, plain):
     docs = sorted([d[:2] for d in documents(spark, plain)], reverse=True)
     got = {r["doc_id"]: r for r in rows(spark, "op4", plain)}
