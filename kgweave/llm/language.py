@@ -4,10 +4,11 @@ Each direction reads the UTF-8 bytes of a window and keeps HIDDEN gated units (u
 gate, candidate); what it knows at a position from both sides gives the probabilities of the
 languages there. A document's probabilities are the mean over all its positions. Texts are cut into
 windows of WINDOW bytes that are read side by side, so that each step is one small matrix product
-for thousands of windows.
+for hundreds of windows. Windows overlap: each labels its inner positions, with MARGIN bytes of context on
+either side, from which both directions' states come.
 
-Trained in numpy by backpropagation through time with Adam, on a bounded sample: about PER_LANGUAGE
-documents of each language, WINDOWS random windows of each.
+Trained in numpy by backpropagation through time with Adam, on a bounded sample: at most PER_LANGUAGE
+documents of each language, WINDOWS random windows of each, which the executors cut.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship, table
 
-HIDDEN, WINDOW, BATCH = 8, 64, 1024
-PER_LANGUAGE, WINDOWS = 500, 6
-STEPS, TRAIN_BATCH, RATE = 260, 192, 0.02
+HIDDEN, WINDOW, MARGIN, BATCH = 8, 128, 16, 768
+#: Positions that a window labels.
+INNER = WINDOW - 2 * MARGIN
+PER_LANGUAGE, WINDOWS = 500, 4
+STEPS, TRAIN_BATCH, RATE = 260, 128, 0.02
 NONE = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -122,25 +125,20 @@ class Network:
 
 
 def windows(text: bytes) -> np.ndarray:
-    """(number of windows, WINDOW); the last is filled up with spaces."""
-    n = -(-len(text) // WINDOW)
-    return np.frombuffer(text.ljust(n * WINDOW), np.uint8).reshape(n, WINDOW)
+    """(number of windows, WINDOW), INNER bytes apart; before and after the text stand spaces."""
+    n = -(-len(text) // INNER)
+    whole = np.frombuffer(b" " * MARGIN + text.ljust(n * INNER + MARGIN), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(whole, WINDOW)[::INNER]
 
 
-def train(rows: list[tuple[str, str]], seed: int = 0) -> Network | None:
-    """rows: (text, language). None without rows."""
-    rows = [(t.encode("utf-8", "surrogatepass"), k) for t, k in rows if t and _LETTER.search(t)]
+def train(rows: list[tuple[np.ndarray, str]], seed: int = 0) -> Network | None:
+    """rows: (windows, language). None without rows."""
     if not rows:
         return None
     labels = sorted({k for _, k in rows})
     network, random = Network(labels, seed), np.random.RandomState(seed)
-    data, y = [], []
-    for text, k in rows:
-        w = windows(text)
-        pick = random.choice(len(w), min(WINDOWS, len(w)), replace=False)
-        data.append(w[pick])
-        y += [labels.index(k)] * len(pick)
-    data, y = np.concatenate(data), np.array(y)
+    data = np.concatenate([w for w, _ in rows])
+    y = np.repeat([labels.index(k) for _, k in rows], [len(w) for w, _ in rows])
     first = {k: np.zeros_like(getattr(network, k)) for k in Network.NAMES}
     second = {k: np.zeros_like(getattr(network, k)) for k in Network.NAMES}
     of = [np.flatnonzero(y == k) for k in range(len(labels))]
@@ -160,19 +158,19 @@ def train(rows: list[tuple[str, str]], seed: int = 0) -> Network | None:
 
 def predict(network: Network, texts: list[bytes]) -> np.ndarray:
     """(len(texts), number of languages): mean probabilities over all positions; texts mustn't be empty."""
-    sizes = [-(-len(t) // WINDOW) for t in texts]
+    sizes = [-(-len(t) // INNER) for t in texts]
     all_windows = np.concatenate([windows(t) for t in texts])
     doc = np.repeat(np.arange(len(texts)), sizes)
-    # Positions of each window that belong to the text.
-    used = np.full(len(doc), WINDOW)
-    used[np.cumsum(sizes) - 1] -= np.array(sizes) * WINDOW - np.array([len(t) for t in texts])
+    # Inner positions of each window that belong to the text.
+    used = np.full(len(doc), INNER)
+    used[np.cumsum(sizes) - 1] -= np.array(sizes) * INNER - np.array([len(t) for t in texts])
     total = np.zeros((len(texts), len(network.labels)))
-    inside = np.arange(WINDOW)[:, None, None]
+    inside = np.arange(INNER)[:, None, None]
     for at in range(0, len(doc), BATCH):
         data = np.ascontiguousarray(all_windows[at : at + BATCH].T)
-        p = network.probabilities(network.states(data)[0])
+        p = network.probabilities(network.states(data)[0][MARGIN : MARGIN + INNER])
         n = used[at : at + BATCH]
-        if n.min() < WINDOW:
+        if n.min() < INNER:
             p = p * (inside < n)
         np.add.at(total, doc[at : at + BATCH], p.sum(0).T)
     return total / np.array([len(t) for t in texts])[:, None]
@@ -182,24 +180,29 @@ def held_out() -> Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, language) of at most per_language documents of each language: those with the least hash of their id."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    # A threshold that half as many again stay under; the rest is cut off here.
-    below = F.lit(0)
-    for k, n in counts.items():
-        below = F.when(F.col("lang") == k, F.lit(min(1 << 30, int((1 << 30) * 1.5 * per_language / n) + 1))).otherwise(below)
-    rows = usable.where(place < below).select("text", "lang", place.alias("place")).collect()
-    rows.sort(key=lambda r: (r["lang"], r["place"], r["text"] or ""))
-    kept: dict[str, int] = {}
-    out = []
-    for r in rows:
-        kept[r["lang"]] = kept.get(r["lang"], 0) + 1
-        if kept[r["lang"]] <= per_language:
-            out.append((r["text"], r["lang"]))
-    return out
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[np.ndarray, str]]:
+    """(up to WINDOWS windows, language) of at most per_language documents of each language: those with the least hash of
+    their id and text. Equal rows count once."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("place"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    # Half as many again as are wanted stay under the threshold, so few rows are ranked.
+    near = usable.join(counts, "lang").where(F.col("place") / F.lit(float(1 << 63)) < F.lit(1.5 * per_language) / F.col("n")).dropDuplicates(["lang", "place"])
+    order = Window.partitionBy("lang").orderBy("place")
+    picked = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "place", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for lang, place, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if text and _LETTER.search(text):
+                    w = windows(text.encode("utf-8", "surrogatepass"))
+                    pick = np.random.RandomState(place & 0x7FFFFFFF).choice(len(w), min(WINDOWS, len(w)), replace=False)
+                    rows.append((lang, place, w[pick].tobytes()))
+            kinds = [pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(3)], names=["lang", "place", "cut"])
+
+    rows = sorted((r["lang"], r["place"], r["cut"]) for r in picked.mapInArrow(cut, "lang string, place long, cut binary").collect())
+    return [(np.frombuffer(c, np.uint8).reshape(-1, WINDOW), lang) for lang, _, c in rows]
 
 
 def identified(docs: DataFrame, network: Network | None) -> DataFrame:
@@ -232,7 +235,7 @@ def identified(docs: DataFrame, network: Network | None) -> DataFrame:
                     texts.append(t.encode("utf-8", "surrogatepass"))
                     at.append(k)
                     size += len(texts[-1])
-                    if size > 4 * BATCH * WINDOW:
+                    if size > 2 * BATCH * INNER:
                         flush(texts, at, langs, scores)
                         texts, at, size = [], [], 0
             flush(texts, at, langs, scores)
@@ -242,5 +245,5 @@ def identified(docs: DataFrame, network: Network | None) -> DataFrame:
 
 
 def op7_language_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(ship(spark), sf_dir, "documents")
     return identified(docs, train(sample(docs)))
