@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, stash, table
 
 UNIT = 192
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rgb_height int, rgb_width int, rgb binary"
 NEXT_MARKER = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]")
 RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
@@ -305,7 +305,15 @@ def plane(image: Image, c: Component) -> np.ndarray:
 def rgb(image: Image) -> np.ndarray:
     """(height, width, 3) or (height, width, 1) of unsigned bytes."""
     top_h, top_v = max(c.h for c in image.components), max(c.v for c in image.components)
-    planes = [np.repeat(np.repeat(plane(image, c), top_v // c.v, 0), top_h // c.h, 1)[: image.height, : image.width] for c in image.components]
+
+    def shown(c: Component) -> np.ndarray:
+        p = plane(image, c)
+        if top_h % c.h or top_v % c.v:
+            # Factors that don't divide: each pixel takes the sample that covers it.
+            return p[np.arange(image.height) * c.v // top_v][:, np.arange(image.width) * c.h // top_h]
+        return np.repeat(np.repeat(p, top_v // c.v, 0), top_h // c.h, 1)[: image.height, : image.width]
+
+    planes = [shown(c) for c in image.components]
     if len(planes) == 1:
         return planes[0][:, :, None]
     # The JFIF colour matrix times 2 ** 16.
@@ -402,27 +410,42 @@ def rgb_tensors(media: DataFrame) -> DataFrame:
     return media.select(F.col("id").cast("long").alias("id"), "media").mapInArrow(run, "id long, height int, width int, channels int, rgb binary")
 
 
+def media_table(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media of every row of docs (doc_id, text): each text as the JPEG that carries it."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                made = [media_of(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
 def stored(docs: DataFrame) -> DataFrame:
-    """The query's columns for every row of docs (doc_id, text): each text stored, read back, decoded to a tensor.
+    """The query's columns for every row of docs (doc_id, text): each text is stored as media in a table of the shared folder, read
+    back from there and decoded to a full-resolution tensor: rgb_height, rgb_width, rgb (bytes, row by row).
 
     Null or empty text: UNIT spaces. Null doc_id and repeated rows: rows like any other. An empty table
     gives no rows. Other columns are ignored.
     """
-    ship(docs.sparkSession)
+    media = stash(media_table(docs), "media", compression="zstd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                size, media = media_of(text)
-                image = decode(media)
-                payload = carried(image)
-                rows.append((doc_id, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(rgb(image))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names=names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+            for at in range(0, len(batch), 256):
+                rows = []
+                for doc_id, size, media in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    image = decode(media)
+                    payload, tensor = carried(image), rgb(image)
+                    rows.append((doc_id, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensor), *tensor.shape[:2], tensor.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names=names)
+
+    return media.mapInArrow(run, SCHEMA)
 
 
 def op2_progressive_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
