@@ -10,9 +10,10 @@ padding plus the penalty of the cut that ends it. With p the places and c the pe
 so the best start of each window is the minimum of a sliding range, kept in a monotone queue:
 every place enters and leaves the queue once.
 
-Rows are read where they lie, without a shuffle, as a stream: a segment of documents is solved once
-it holds SEGMENT ids, so memory follows the segment and the longest document, not the partition.
-Where segments end depends on the rows alone, not on how Arrow cuts them into batches.
+Rows are read where they lie, without a shuffle, as a stream. After each SEGMENT ids the ways to all
+places that a next window may begin at are followed back to the cut where they part: up to it windows are
+decided and go out, the rest waits. So windows are optimal over the whole partition, while memory
+follows the segment and the longest document; if ways don't meet, more is read before the next try.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -130,8 +133,9 @@ def places(ids: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.nda
     return at, cost[at]
 
 
-def best_cuts(at: Iterable[int], cost: Iterable[int], window: int = WINDOW) -> list[int]:
-    """Ends of the windows, the last place included, at the least total of padding and penalties.
+def search(at: Iterable[int], cost: Iterable[int], window: int = WINDOW) -> tuple[list[int], list[int], list[int]]:
+    """The places with 0 in front, where the best window that ends at each begins, and all places (by number) at which
+    a next window may begin.
 
     Neighbouring places must be at most `window` apart. Ties go to the longest window.
     """
@@ -147,30 +151,76 @@ def best_cuts(at: Iterable[int], cost: Iterable[int], window: int = WINDOW) -> l
         while queue and queue[-1][0] > value:
             queue.pop()
         queue.append((value, j))
-    cuts, j = [], len(p) - 1
+    return p, came, [i for _, i in queue]
+
+
+def way(p: list[int], came: list[int], j: int) -> list[int]:
+    """Ends of the windows on the best way to place j."""
+    cuts = []
     while j:
         cuts.append(p[j])
         j = came[j]
     return cuts[::-1]
 
 
-def solve(docs: list[tuple[int | None, np.ndarray]], stops: np.ndarray, first: int) -> tuple[pa.RecordBatch, int]:
-    """Pieces of a segment's documents (ids with the end id); first: the number of its first sequence."""
-    ids = np.concatenate([x for _, x in docs])
-    ends = np.cumsum([len(x) for _, x in docs])
+def best_cuts(at: Iterable[int], cost: Iterable[int], window: int = WINDOW) -> list[int]:
+    """Ends of the windows, the last place included, at the least total of padding and penalties."""
+    p, came, _ = search(at, cost, window)
+    return way(p, came, len(p) - 1)
+
+
+def parting(came: list[int], ends: list[int]) -> int:
+    """The last place that lies on the best ways to all the ends."""
+    open_ = set(ends)
+    heap = [-j for j in open_]
+    heapify(heap)
+    while len(heap) > 1:
+        j = -heappop(heap)
+        open_.discard(j)
+        if came[j] not in open_:
+            open_.add(came[j])
+            heappush(heap, -came[j])
+    return -heap[0]
+
+
+@dataclass
+class Held:
+    """A document, or what the decided windows leave of it: ids from place `start` on, of `size` with the end id."""
+
+    doc_id: int | None
+    start: int
+    size: int
+    ids: np.ndarray
+
+
+def solve(docs: list[Held], stops: np.ndarray, first: int, last: bool = True) -> tuple[pa.RecordBatch | None, int, list[Held]]:
+    """Pieces of the decided windows, the number of the next sequence, and what is left. first: the number of the first
+    sequence. last: nothing comes behind, so all windows are decided."""
+    ids = np.concatenate([x.ids for x in docs])
+    ends = np.cumsum([len(x.ids) for x in docs])
     at, cost = places(ids, ends, stops)
-    cost[-1] = 0
-    cuts = np.array(best_cuts(at.tolist(), cost.tolist()))
-    stop = np.union1d(ends, cuts)
+    p, came, nexts = search(at.tolist(), cost.tolist())
+    cuts = np.array(way(p, came, len(p) - 1 if last else parting(came, nexts)), np.int64)
+    if not len(cuts):
+        return None, first, docs
+    whole = int(np.searchsorted(ends, cuts[-1], "right"))
+    stop = np.union1d(ends[:whole], cuts)
     start = np.concatenate([[0], stop[:-1]])
     doc, seq = np.searchsorted(ends, start, "right"), np.searchsorted(cuts, start, "right")
-    doc_start = np.concatenate([[0], ends[:-1]])[doc]
+    begins = np.concatenate([[0], ends[:-1]])
     wide = ids.astype("<u4")
     crc = [zlib.crc32(wide[a:b]) for a, b in zip(start.tolist(), stop.tolist())]
-    own = [docs[k][0] for k in doc.tolist()]
-    columns = [own, start - doc_start, stop - start, crc, ends[doc] - doc_start, seq + first, start - np.concatenate([[0], cuts[:-1]])[seq]]
+    of = [docs[k] for k in doc.tolist()]
+    columns = [
+        [x.doc_id for x in of], start - begins[doc] + [x.start for x in of], stop - start, crc, [x.size for x in of],
+        seq + first, start - np.concatenate([[0], cuts[:-1]])[seq],
+    ]
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names), first + len(cuts)
+    left = docs[whole:]
+    if left and cuts[-1] > begins[whole]:
+        x, done = left[0], int(cuts[-1] - begins[whole])
+        left[0] = Held(x.doc_id, x.start + done, x.size, x.ids[done:])
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names), first + len(cuts), left
 
 
 def pack(docs: DataFrame, path: str | None = None, segment: int = SEGMENT, remembered: int = REMEMBERED) -> DataFrame:
@@ -187,18 +237,21 @@ def pack(docs: DataFrame, path: str | None = None, segment: int = SEGMENT, remem
         claim("packing", _LOADED.clear)
         tokenizer = load(path)
         number = TaskContext.get().partitionId() << 33
-        held: list[tuple[int | None, np.ndarray]] = []
-        size = 0
+        held: list[Held] = []
+        size, enough = 0, segment
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1).to_pylist(), remembered)):
-                    held.append((doc_id, np.append(ids, np.uint16(END_ID))))
+                    held.append(Held(doc_id, 0, len(ids) + 1, np.append(ids, np.uint16(END_ID))))
                     size += len(ids) + 1
-                    if size >= segment:
-                        out, number = solve(held, tokenizer.stops, number)
-                        yield out
-                        held, size = [], 0
+                    if size >= enough:
+                        out, number, held = solve(held, tokenizer.stops, number, last=False)
+                        size = sum(len(x.ids) for x in held)
+                        # As much again as is left, so that no id is looked at often.
+                        enough = size + max(segment, size)
+                        if out is not None:
+                            yield out
         if held:
             yield solve(held, tokenizer.stops, number)[0]
 
@@ -210,5 +263,6 @@ def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of all documents that came through, in their order."""
+    """Sequences of all documents that came through, in their order. Null and empty texts, null ids, repeated rows, an empty
+    table: as pack() has them. Other columns are left out."""
     return pack(docs, remembered=REMEMBERED_AMONG_OTHERS)

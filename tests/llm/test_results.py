@@ -606,6 +606,25 @@ def test_windows_are_the_cheapest():
         assert sum(20 - (b - a) + price[b] for a, b in zip([0, *cuts], cuts)) == best[at[-1]]
 
 
+def test_windows_do_not_depend_on_segments(spark, plain):
+    """With segments of a few hundred ids the windows are those of the whole run, whose last place alone is fixed."""
+    docs = spark.read.parquet(f"{plain}/documents.parquet").orderBy("doc_id").coalesce(1)
+    docs = docs.withColumn("text", F.concat_ws(" ", "text", F.repeat("text", 3)))
+    bag = lambda df: sorted(map(tuple, df.collect()))
+    whole, small = (bag(packing.pack(docs, segment=n)) for n in (1 << 30, 5000))
+    assert whole == small and max(r[5] for r in whole) > 10
+
+
+def test_chroma_of_factors_that_do_not_divide():
+    image = jpeg.Image(24, 8, [jpeg.Component(1, 3, 1, 0), jpeg.Component(2, 2, 1, 0), jpeg.Component(3, 3, 1, 0)], {0: np.ones(64, np.int64)})
+    for c in image.components:
+        c.blocks = np.zeros((1, c.h, 64), np.int32)
+    # The second of two chroma blocks is brighter: it covers the last half of the 24 columns.
+    image.components[1].blocks[0, 1, 0] = 80
+    got = jpeg.rgb(image)
+    assert got.shape == (8, 24, 3) and (got[:, :12, 2] == 128).all() and (got[:, 12:, 2] > 128).all()
+
+
 def water(sizes, weights=(3, 1, 2)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % 3] for k, s in enumerate(names)}
