@@ -226,8 +226,9 @@ def profiles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.join(own, "node", "left").mapInArrow(profile, "node long" + "".join(f", {k} long" for k in (*PROFILE, "rest"))).dropDuplicates(["node"])
 
 
-def rare_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """region (a shingle), node, n: of each set of n shingles the n // 4 + 1 that come first in one order of all shingles.
+def rare_shingles(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """crowd's columns (node, n and other longs) with region (a shingle): of each set of n shingles the n // 4 + 1 that come first in
+    one order of all shingles.
 
     A link takes 3 / 4 of either set in common, so that two linked sets have a shingle in common among so
     many of their first, whatever the order. Ours puts rare ones first: by how many shingles of the nodes
@@ -242,7 +243,10 @@ def rare_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             place, c = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]) % np.uint64(COUNTED), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(c.astype(np.int64))], names=["place", "c"])
 
-    texts = texts_of(nodes, docs)
+    names = crowd.columns
+    # Documents are joined, not shingles: what the comparison needs goes through with each text.
+    few = crowd.count() <= MOST_BROADCAST // len(names)
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(F.broadcast(crowd) if few else crowd, "node").select("node", "text", *[F.col(c).cast("long").alias(f"own_{c}") for c in names])
     # COUNTED rows at most.
     rows = texts.mapInArrow(counting, "place long, c long").groupBy("place").agg(F.sum("c").alias("c")).toArrow()
     counts = np.zeros(COUNTED, np.int64)
@@ -255,13 +259,17 @@ def rare_shingles(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
-                kept = [s[np.lexsort((s, often[(s % np.uint64(COUNTED)).astype(np.int64)]))[: len(s) // 4 + 1]] for s in sets]
-                sizes = [len(x) for x in kept]
-                columns = [np.concatenate(kept).view(np.int64), np.repeat(part.column(0).to_numpy(), sizes), np.repeat(np.array([len(s) for s in sets], np.int64), sizes)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["region", "node", "n"])
+                kept, sizes = [], []
+                for text, n in zip(part.column(1).to_pylist(), part.column(2 + names.index("n")).to_pylist()):
+                    s = shingle_set(text)
+                    # Rows with one id may have other texts.
+                    own = s[np.lexsort((s, often[(s % np.uint64(COUNTED)).astype(np.int64)]))[: n // 4 + 1]] if len(s) == n else s[:0]
+                    kept.append(own)
+                    sizes.append(len(own))
+                columns = [np.concatenate(kept).view(np.int64), *[np.repeat(c.to_numpy(), sizes) for c in part.columns[2:]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["region", *names])
 
-    return texts.mapInArrow(first, "region long, node long, n long").distinct()
+    return texts.mapInArrow(first, ", ".join(f"{c} long" for c in ("region", *names))).dropDuplicates(["region", "node", "n"])
 
 
 def unresolved(keyed: DataFrame) -> DataFrame:
@@ -289,12 +297,10 @@ def between_components(rows: DataFrame, labels: DataFrame, docs: DataFrame) -> D
         return pairs.where(F.expr("75 * greatest(x_n, y_n) <= 100 * least(x_n, y_n)")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     found = met(rows.where(F.col("pairs") <= MOST_PAIRS))
-    crowd = rows.where(F.col("pairs") > MOST_PAIRS).dropDuplicates(["node", "n"]).drop("region", "top", "pairs")
+    crowd = rows.where(F.col("pairs") > MOST_PAIRS).dropDuplicates(["node", "n"]).select("node", "n", "comp", "rest", *PROFILE)
     if crowd.isEmpty():
         return found
-    crowd = stash(crowd, "crowd")
-    rare = rare_shingles(stash(crowd.select("node").distinct(), "ids"), docs)
-    return found.unionByName(met(unresolved(rare.join(crowd, ["node", "n"])))).distinct()
+    return found.unionByName(met(unresolved(rare_shingles(stash(crowd, "crowd"), docs)))).distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
