@@ -50,8 +50,8 @@ MOST_UNLIKE = 46
 SKETCH = [f"s{k}" for k in range(VALUES // 16)]
 GROUPS, LEVELS = 128, 4
 PROFILE = [f"p{k}" for k in range(GROUPS * LEVELS // 64)]
-#: Places in which shingles are counted to put rare ones first: 8 MB.
-COUNTED = 1 << 20
+#: Places in which shingles are counted to put rare ones first, a byte each: 4 MB.
+COUNTED = 1 << 22
 #: Up to so many ids (8 bytes each) the list of documents to be compared is broadcast; beyond it, joined.
 MOST_BROADCAST = 1_000_000
 
@@ -232,8 +232,9 @@ def rare_shingles(crowd: DataFrame, docs: DataFrame) -> DataFrame:
 
     A link takes 3 / 4 of either set in common, so that two linked sets have a shingle in common among so
     many of their first, whatever the order. Ours puts rare ones first: by how many shingles of the nodes
-    fall into the same of COUNTED places, then by the hash itself. The counts are a table of bounded size,
-    so each document picks its own shingles where it is read, and only those are dealt out.
+    fall into the same of COUNTED places (by halves of the count's logarithm), then by the hash itself. The
+    counts are a table of bounded size, so each document picks its own shingles where it is read, and only those are
+    dealt out. Of them, those that are alone in their place are left out: no other document has them.
     """
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,15 +242,16 @@ def rare_shingles(crowd: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
             place, c = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]) % np.uint64(COUNTED), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(c.astype(np.int64))], names=["place", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(c.astype(np.int64))], names=["place", "c"])
 
     names = crowd.columns
     # Documents are joined, not shingles: what the comparison needs goes through with each text.
     few = crowd.count() <= MOST_BROADCAST // len(names)
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(F.broadcast(crowd) if few else crowd, "node").select("node", "text", *[F.col(c).cast("long").alias(f"own_{c}") for c in names])
-    # COUNTED rows at most.
-    rows = texts.mapInArrow(counting, "place long, c long").groupBy("place").agg(F.sum("c").alias("c")).toArrow()
-    counts = np.zeros(COUNTED, np.int64)
+    # COUNTED rows of five bytes at most.
+    level = F.floor(F.log2(F.sum("c")) * 2).cast("tinyint")
+    rows = texts.mapInArrow(counting, "place int, c long").groupBy("place").agg(level.alias("level")).where("level > 0").toArrow()
+    counts = np.zeros(COUNTED, np.int8)
     counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -262,8 +264,10 @@ def rare_shingles(crowd: DataFrame, docs: DataFrame) -> DataFrame:
                 kept, sizes = [], []
                 for text, n in zip(part.column(1).to_pylist(), part.column(2 + names.index("n")).to_pylist()):
                     s = shingle_set(text)
+                    level = often[(s % np.uint64(COUNTED)).astype(np.int64)]
                     # Rows with one id may have other texts.
-                    own = s[np.lexsort((s, often[(s % np.uint64(COUNTED)).astype(np.int64)]))[: n // 4 + 1]] if len(s) == n else s[:0]
+                    order = np.lexsort((s, level))[: n // 4 + 1 if len(s) == n else 0]
+                    own = s[order][level[order] > 0]
                     kept.append(own)
                     sizes.append(len(own))
                 columns = [np.concatenate(kept).view(np.int64), *[np.repeat(c.to_numpy(), sizes) for c in part.columns[2:]]]
