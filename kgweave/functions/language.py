@@ -11,6 +11,7 @@ or where it began (loop). `&&` joins several bodies that must all hold.
 from __future__ import annotations
 
 import re
+from collections import deque
 from dataclasses import dataclass
 
 SELF = "me_myself_i"
@@ -97,24 +98,51 @@ def parse_atom(text: str) -> tuple[str, str, str]:
     return name.strip(), a, b
 
 
-def walk(atoms: list[tuple[str, str, str]], start: str, goal: str | None) -> Atom:
-    """The path of a body from start to the variable goal, a constant, or a loose end; every atom must lie on it."""
-    at, left, path = start, list(atoms), []
-    while left:
-        here = [x for x in left if at in (x[1], x[2])]
-        if not here:
-            raise ValueError(f"the body doesn't hang together at {at}")
-        # The goal's atom comes last.
-        here.sort(key=lambda x: goal is not None and goal in (x[1], x[2]) and len(left) > 1)
-        name, a, b = here[0]
-        left.remove(here[0])
+def route(atoms: list[tuple[str, str, str]], start: str, goal: str) -> Atom:
+    """The shortest path of a body from start to goal, breadth first; atoms off the path don't count."""
+    ways: deque[tuple[str, tuple[int, ...]]] = deque([(start, ())])
+    seen = {start}
+    while ways:
+        at, used = ways.popleft()
+        for k, (_, a, b) in enumerate(atoms):
+            if k not in used and at in (a, b):
+                to = b if at == a else a
+                if to == goal:
+                    return Atom(steps(atoms, [*used, k], start), "binary")
+                if to not in seen and is_variable(to):
+                    seen.add(to)
+                    ways.append((to, (*used, k)))
+    raise ValueError(f"the body doesn't lead from {start} to {goal}")
+
+
+def steps(atoms: list[tuple[str, str, str]], order: list[int], start: str) -> tuple[Step, ...]:
+    path, at = [], start
+    for k in order:
+        name, a, b = atoms[k]
         path.append(Step(name, inverse=a != at))
         at = b if a == at else a
-    if at == start and len(path) == 1:
-        return Atom(tuple(path), "loop")
-    if goal is not None and at == goal:
-        return Atom(tuple(path), "binary")
-    return Atom(tuple(path), "exists") if is_variable(at) else Atom(tuple(path), "const", at)
+    return tuple(path)
+
+
+def walk(atoms: list[tuple[str, str, str]], start: str) -> Atom:
+    """The path of a body that goes through all its atoms from start: to a constant, a loose end, or back to where it began."""
+
+    def follow(at: str, used: list[int]) -> tuple[list[int], str] | None:
+        if len(used) == len(atoms):
+            return used, at
+        for k, (_, a, b) in enumerate(atoms):
+            if k not in used and at in (a, b) and (found := follow(b if a == at else a, [*used, k])):
+                return found
+        return None
+
+    found = follow(start, [])
+    if not found:
+        raise ValueError(f"the body isn't one path from {start}")
+    order, at = found
+    path = steps(atoms, order, start)
+    if at == start:
+        return Atom(path, "loop")
+    return Atom(path, "exists") if is_variable(at) else Atom(path, "const", at)
 
 
 def parse_rule(text: str) -> Rule:
@@ -131,7 +159,26 @@ def parse_rule(text: str) -> Rule:
     else:
         raise ValueError(f"a head needs a variable: {text!r}")
     bodies = [split_atoms(part) for part in body_text.split("&&")]
-    return Rule(head, tuple(walk([parse_atom(x) for x in atoms], start, goal) for atoms in bodies if atoms))
+    parsed = [[parse_atom(x) for x in atoms] for atoms in bodies if atoms]
+    return Rule(head, tuple(walk(x, start) if goal is None else route(x, start, goal) for x in parsed))
+
+
+def canonical(text: str) -> str:
+    """One form for all rules that differ in the names of their variables, blanks, and the order of bodies that must all hold."""
+    rule = parse_rule(text)
+    return f"{rule.head} <= {'&&'.join(sorted(map(str, rule.body)))}"
+
+
+def chosen_rules(texts: list[str], relation: str | None = None, normal: bool = False, most_steps: int | None = None, kinds: tuple[str, ...] = ()) -> list[str]:
+    """The rules of a head relation; without complex bodies; of so many steps at most; of some kinds (B, Ud, Uc, Z)."""
+    out = []
+    for text in texts:
+        rule = parse_rule(text)
+        if relation is not None and rule.head.path[0].relation != relation or normal and len(rule.body) > 1 or kinds and rule.kind not in kinds:
+            continue
+        if most_steps is None or max((len(a.path) for a in rule.body), default=0) <= most_steps:
+            out.append(text)
+    return out
 
 
 def inverse_path(path: tuple[Step, ...]) -> tuple[Step, ...]:

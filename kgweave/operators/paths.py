@@ -55,9 +55,8 @@ def atom_instances(edges: DataFrame, atom: Atom) -> DataFrame:
     if atom.kind == "loop":
         if len(atom.path) == 1:
             return step_pairs(edges, atom.path[0], "x", "y").where("x = y").select("x").distinct()
-        walk = path_nodes(edges, atom.path[:-1])
-        last = step_pairs(edges, atom.path[-1], "b", "x")
-        return walk.join(last, (F.col(f"n{len(atom.path) - 1}") == F.col("b")) & (F.col("n0") == F.col("x"))).select("x").distinct()
+        there = path_pairs(edges, atom.path[:-1])
+        return there.join(step_pairs(edges, atom.path[-1], "y", "x"), ["x", "y"], "left_semi").select("x").distinct()
     pairs = step_pairs(edges, atom.path[0], "x", "y").where("x <> y") if len(atom.path) == 1 else path_pairs(edges, atom.path)
     if atom.kind == "const":
         pairs = pairs.where(F.col("y") == atom.constant)

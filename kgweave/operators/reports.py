@@ -173,3 +173,14 @@ def ridge_selector(values: DataFrame, columns: Sequence[str], target: str, penal
     data = VectorAssembler(inputCols=list(columns), outputCol="features").transform(values.na.fill(0.0, list(columns)))
     model = LinearRegression(regParam=penalty, standardization=True).fit(data.select("features", F.col(target).cast("double").alias("label")))
     return values.sparkSession.createDataFrame([(c, float(w)) for c, w in zip(columns, model.coefficients)], "feature string, weight double")
+
+
+def best_at(curve: DataFrame, group: str, least: float) -> DataFrame:
+    """The highest point of each group's curve (coverage, mean) at a coverage of `least` or more; ties to the larger coverage."""
+    order = Window.partitionBy(group).orderBy(F.col("mean").desc(), F.col("coverage").desc())
+    return curve.where(F.col("coverage") >= least).withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+
+
+def ranked_at(curve: DataFrame, coverage: float) -> DataFrame:
+    """Features by their mean at one coverage (a row for each feature)."""
+    return curve.where(F.col("coverage") == coverage).withColumn("rank", F.rank().over(Window.orderBy(F.col("mean").desc())))

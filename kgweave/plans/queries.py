@@ -580,11 +580,6 @@ def macro_average(b: Base):
     return reports.macro(both.withColumn("rr", answering.reciprocal(C("rank"))), "rr", "y", "config").select("config", r6("macro"), "groups")
 
 
-@plan("SELECT y, CAST(NULL AS DOUBLE) AS mrr, CAST(NULL AS DOUBLE) AS found FROM ranks_best WHERE false")
-def inconsistent_metrics(b: Base):
-    return reports.inconsistent(b.ranks_best, answering.rank_metrics(b.ranks_best, "y"), "y")
-
-
 CAPPED = """SELECT {cap}::DOUBLE AS cap, round((SELECT avg(CASE WHEN -ln(1 - support / (body_size + 3)) >= {cap} THEN 1 ELSE 0 END) FROM metrics), 6) AS saturated,
     count(*) FILTER (n > 0 AND o > 0) AS "both", round(count(*) FILTER (n > 0 AND o > 0) / count(*) FILTER (n > 0 OR o > 0), 6) AS jaccard, count(*) FILTER (sign(n) <> sign(o)) AS flipped
     FROM (SELECT round(least(-ln(1 - p.support / (p.body + 3)), {cap}) - least(u.e, {cap}) - least(v.e, {cap}), 9) AS n, round(least(-ln(1 - p.support / (p.body + 3)), 7) - u.e - v.e, 9) AS o
@@ -650,11 +645,6 @@ def features(b: Base) -> DataFrame:
     return analysis.query_features(b.noisy, b.fired).join(rr, "x")
 
 
-@plan()
-def formula_search(b: Base):
-    return reports.formula_search(features(b), ("margin", "entropy"), "rr").select("w_margin", "w_entropy", "n", r6("gain"))
-
-
 @plan()
 def forest_selector(b: Base):
     return reports.forest_selector(features(b), ("candidates", "firings", "top", "margin", "entropy"), "rr", "x", folds=3, trees=10)

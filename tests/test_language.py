@@ -35,3 +35,21 @@ def test_bad_rules():
     for text in ("r(a,b) <= s(X,Y)", "r(X,Y) <= s(A,B)", "r X"):
         with pytest.raises(ValueError):
             L.parse_rule(text)
+
+
+def test_shortest_path_of_a_body_with_branches():
+    assert str(L.parse_rule("h(X,Y) <= r(X,A), s(X,B), t(B,Y)")) == "h <= s*t"
+    assert str(L.parse_rule("h(X,Y) <= t(B,Y), s(B,A), r(X,A)")) == "h <= r*INVERSE_s*t"
+
+
+def test_loops_of_several_steps():
+    rule = L.parse_rule("h(X,c) <= r(X,A), s(A,X)")
+    assert str(rule) == "h(c) <= r*s(X)" and rule.body[0].kind == "loop"
+    assert L.parse_rule("h(X,c) <= r(X,A), s(B,A), t(B,X)").body[0].kind == "loop"
+
+
+def test_canonical_form_and_filters():
+    assert L.canonical("h(X,Y) <= b(X,A), c(A,Y) && a(X,Y)") == L.canonical("h(X,Y) <= a(X,Y) && b(X,D),c(D,Y)")
+    texts = [t for t, *_ in CASES]
+    assert L.chosen_rules(texts, normal=True, kinds=("B",)) == ["rel(X,Y) <= body1(X,A), body2(Y,A)"]
+    assert L.chosen_rules(texts, relation="r", most_steps=0) == ["r(X,c) <= "]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kgweave.functions import evidence as E
 from kgweave.functions.language import Step, parse_rule
-from kgweave.operators import analysis, answering, dependencies, paths, support, training
+from kgweave.operators import analysis, answering, applying, dependencies, paths, support, training
 from kgweave.sources import files, graph
 
 
@@ -128,3 +128,35 @@ def test_files_round_trip(spark, tmp_path):
     files.write_dependencies(deps, str(tmp_path / "deps"))
     back = {(r["a"], r["b"]): r["lift"] for k in ("synergy", "redundancy") for r in files.read_dependencies(spark, str(tmp_path / "deps" / k)).collect()}
     assert back == {(1, 2): 0.12346, (2, 3): -0.5}
+
+
+def test_rules_of_every_form_equal_brute_force(spark):
+    triples = small_graph(4)
+    edges = graph.edges(spark.createDataFrame(triples, graph.TRIPLE))
+    has, names = set(triples), "abcdefgh"
+    texts = {1: "p(X,Y) <= q(X,A), r(A,Y)", 2: "p(X,a) <= q(X,A), r(A,X)", 3: "p(X,b) <= r(X,c)", 4: "p(X,X) <= r(X,A)", 5: "p(d,Y) <= q(A,Y)", 6: "p(X,Y) <= q(X,Y) && r(Y,X)"}
+    want = {(1, x, y) for x, m, y in itertools.permutations(names, 3) if (x, "q", m) in has and (m, "r", y) in has}
+    want |= {(2, x, "a") for x, m in itertools.permutations(names, 2) if (x, "q", m) in has and (m, "r", x) in has}
+    want |= {(3, x, "b") for x in names if x != "c" and (x, "r", "c") in has}
+    want |= {(4, x, x) for x, m in itertools.permutations(names, 2) if (x, "r", m) in has}
+    want |= {(5, "d", y) for y, m in itertools.permutations(names, 2) if (m, "q", y) in has}
+    want |= {(6, x, y) for x, y in itertools.permutations(names, 2) if (x, "q", y) in has and (y, "r", x) in has}
+    rules = {k: parse_rule(t) for k, t in texts.items()}
+    for direction in ("tail", "head"):
+        got = applying.applied(edges, rules, direction).collect()
+        found = {(k, *((r["query"], r["cand"]) if direction == "tail" else (r["cand"], r["query"]))) for r in got for k in r["rules"]}
+        assert found == want
+    queries = spark.createDataFrame([("a",)], "query string")
+    assert {r["query"] for r in applying.applied(edges, rules, "tail", queries=queries).collect()} <= {"a"}
+
+
+def test_pairs_that_a_path_joins(spark):
+    edges = graph.edges(spark.createDataFrame(small_graph(5), graph.TRIPLE))
+    every = spark.createDataFrame(list(itertools.product("abcdefgh", repeat=2)), "x string, y string")
+    for path in ((Step("p"), Step("q")), (Step("p"), Step("q", True), Step("r"))):
+        assert {tuple(r) for r in applying.holds(every, edges, path).collect()} == {tuple(r) for r in paths.path_pairs(edges, path).collect()}
+
+
+def test_self_marker_becomes_the_query(spark):
+    rows = spark.createDataFrame([("a", "me_myself_i", [2]), ("a", "a", [1]), ("b", "c", [3])], "query string, cand string, rules array<long>")
+    assert sorted(map(tuple, applying.itself(rows).collect())) == [("a", "a", [1, 2]), ("b", "c", [3])]
