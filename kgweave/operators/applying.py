@@ -72,7 +72,7 @@ def holds(pairs: DataFrame, edges: DataFrame, path) -> DataFrame:
     middle = len(path) // 2
     first = step_pairs(edges, path[0], "x", "m") if middle == 1 else path_pairs(edges, path[:middle]).withColumnRenamed("y", "m")
     last = path_pairs(edges, path[middle:]).withColumnRenamed("x", "m")
-    ways = pairs.select("x", "y").distinct().join(first, "x").where("m <> x AND m <> y")
+    ways = pairs.select("x", "y").where("x <> y").distinct().join(first, "x").where("m <> x AND m <> y")
     met = ways.join(last, ["m", "y"])
     if len(path) > 2:
         # Inner nodes of both halves may coincide; the pairs that are left are walked out.
