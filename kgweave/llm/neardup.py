@@ -248,6 +248,8 @@ def rare_shingles(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     # Documents are joined, not shingles: what the comparison needs goes through with each text.
     few = crowd.count() <= MOST_BROADCAST // len(names)
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(F.broadcast(crowd) if few else crowd, "node").select("node", "text", *[F.col(c).cast("long").alias(f"own_{c}") for c in names])
+    # A crowd may stand in few parts of the table; its texts are dealt over all tasks.
+    texts = texts.repartition("node")
     # COUNTED rows of five bytes at most.
     level = F.floor(F.log2(F.sum("c")) * 2).cast("tinyint")
     rows = texts.mapInArrow(counting, "place int, c long").groupBy("place").agg(level.alias("level")).where("level > 0").toArrow()
