@@ -63,8 +63,8 @@ def test_budget_grows_with_the_rules(spark, name):
     con = duckdb.connect()
     for f in Path(sf).glob("*.parquet"):
         con.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    whole = re.sub(r"nth <= \d+", "nth <= 500", entry.oracle_sql()[name])
-    whole = re.sub(r"pos <= \d+", "pos <= 2 * (SELECT count(*) FROM catalog)", whole)
+    whole = entry.oracle_sql()[name]
+    assert "nth <= 500" in whole and "pos <= 2 * (SELECT count(*) FROM catalog)" in whole
     got = entry.queries()[name](spark, sf)
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({whole})").fetchall()
     assert len(want) > 200 and sorted(map(tuple, got.collect())) == sorted(want)
