@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, stash, table
 
 HIDDEN, WINDOW, MARGIN, BATCH = 8, 128, 16, 768
 #: Positions that a window labels.
 INNER = WINDOW - 2 * MARGIN
 PER_LANGUAGE, WINDOWS = 500, 4
 STEPS, TRAIN_BATCH, RATE = 260, 128, 0.02
+#: Up to so many languages their counts are broadcast; beyond it, joined.
+MOST_BROADCAST = 100_000
 NONE = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -184,9 +186,11 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[np.n
     """(up to WINDOWS windows, language) of at most per_language documents of each language: those with the least hash of
     their id and text. Equal rows count once."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("place"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = stash(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # Texts aren't dealt by language, one of which may have most of them, while the languages are few.
+    few = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
     # Half as many again as are wanted stay under the threshold, so few rows are ranked.
-    near = usable.join(counts, "lang").where(F.col("place") / F.lit(float(1 << 63)) < F.lit(1.5 * per_language) / F.col("n")).dropDuplicates(["lang", "place"])
+    near = usable.join(few, "lang").where(F.col("place") / F.lit(float(1 << 63)) < F.lit(1.5 * per_language) / F.col("n")).dropDuplicates(["lang", "place"])
     order = Window.partitionBy("lang").orderBy("place")
     picked = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("lang", "place", "text")
 
