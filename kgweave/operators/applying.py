@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.language import SELF, Rule
-from .paths import body_instances, path_pairs, step_pairs
+from .paths import body_instances, path_pairs, step_pairs, witnesses
 
 
 def rule_instances(edges: DataFrame, rules: Mapping[int, Rule]) -> DataFrame:
@@ -69,12 +69,17 @@ def itself(candidates: DataFrame) -> DataFrame:
 
 def holds(pairs: DataFrame, edges: DataFrame, path) -> DataFrame:
     """The pairs (x, y) that a path of two or more steps joins: the ways from x meet the ways from y in the middle."""
+    if len(path) == 3:
+        # The last two steps are summed up by (middle node, y), so no walk is a row.
+        wanted = pairs.select("x", "y").where("x <> y").distinct().join(step_pairs(edges, path[0], "x", "a").where("x <> a"), "x")
+        met = wanted.join(witnesses(edges, path), ["a", "y"])
+        return met.where("least <> x OR most <> x").select("x", "y").distinct()
     middle = len(path) // 2
     first = step_pairs(edges, path[0], "x", "m") if middle == 1 else path_pairs(edges, path[:middle]).withColumnRenamed("y", "m")
     last = path_pairs(edges, path[middle:]).withColumnRenamed("x", "m")
     ways = pairs.select("x", "y").where("x <> y").distinct().join(first, "x").where("m <> x AND m <> y")
     met = ways.join(last, ["m", "y"])
-    if len(path) > 2:
+    if len(path) > 3:
         # Inner nodes of both halves may coincide; the pairs that are left are walked out.
         from .paths import path_nodes
 
