@@ -31,16 +31,17 @@ def scale(raw: Column) -> Column:
     return clamped * clamped
 
 
-def linear_scores(fired_rules: DataFrame, weights: DataFrame, deps: DataFrame | None = None, bias: float = 0.0, norm: str = "sqrt", clip: float | None = 1.0) -> DataFrame:
+def linear_scores(fired_rules: DataFrame, weights: DataFrame, deps: DataFrame | None = None, bias: float = 0.0, norm: str = "sqrt", clip: float | None = 1.0, sets: DataFrame | None = None) -> DataFrame:
     """x, y, rule_logit, dep_logit, raw = sigmoid(logit), score = raw * conf.
 
-    The dependency part stays within clip times the rule part's size (1e-6 at least).
+    The dependency part stays within clip times the rule part's size (1e-6 at least). sets: the fired rules as x, y, rules,
+    where they are at hand; rules without dependencies may be among them.
     """
     out = rule_part(fired_rules, weights)
     if deps is None:
         out = out.withColumn("dep_logit", F.lit(0.0))
     else:
-        out = out.join(dep_part(fired_rules, deps, norm), ["x", "y"], "left").withColumn("dep_logit", F.coalesce("dep_logit", F.lit(0.0)))
+        out = out.join(dep_part(fired_rules if sets is None else sets, deps, norm), ["x", "y"], "left").withColumn("dep_logit", F.coalesce("dep_logit", F.lit(0.0)))
         if clip is not None:
             bound = clip * F.greatest(F.abs("rule_logit"), F.lit(1e-6))
             out = out.withColumn("dep_logit", F.least(F.greatest(F.col("dep_logit"), -bound), bound))
@@ -48,9 +49,9 @@ def linear_scores(fired_rules: DataFrame, weights: DataFrame, deps: DataFrame |
     return out.select("x", "y", "rule_logit", "dep_logit", raw.alias("raw"), (raw * F.col("conf")).alias("score"))
 
 
-def explain(fired_rules: DataFrame, weights: DataFrame, deps: DataFrame, bias: float = 0.0) -> DataFrame:
-    """x, y, part (bias, rule, dependency), a, b, value: the addends of a candidate's logit, before norm and clip."""
+def explain(fired_rules: DataFrame, weights: DataFrame, deps: DataFrame, bias: float = 0.0, sets: DataFrame | None = None) -> DataFrame:
+    """x, y, part (bias, rule, dependency), a, b, value: the addends of a candidate's logit, before norm and clip. sets: as above."""
     rules = fired_rules.select("x", "y", "rule_id").join(weights, "rule_id").select("x", "y", F.lit("rule").alias("part"), F.col("rule_id").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("w") * F.col("w") * F.col("type_w")).alias("value"))
-    pairs = active(fired_rules, deps.select("a", "b", F.col("w").alias("lift"))).select("x", "y", F.lit("dependency").alias("part"), "a", "b", F.col("lift").alias("value"))
+    pairs = active(fired_rules if sets is None else sets, deps.select("a", "b", F.col("w").alias("lift"))).select("x", "y", F.lit("dependency").alias("part"), "a", "b", F.col("lift").alias("value"))
     intercept = fired_rules.select("x", "y").distinct().select("x", "y", F.lit("bias").alias("part"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(float(bias)).alias("value"))
     return intercept.unionByName(rules).unionByName(pairs)
