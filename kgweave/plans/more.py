@@ -185,7 +185,7 @@ def gold_effective(b: Base):
 @plan(f"""SELECT x, y, round(dep_logit / (rule_logit + 1e-9), 6) AS ratio FROM (SELECT f.x, f.y, sum(lift) AS dep_logit FROM {ACTIVE} GROUP BY 1, 2) JOIN (SELECT x, y, sum(evidence) AS rule_logit FROM mfired GROUP BY 1, 2) USING (x, y)""")
 def ratio_selector(b: Base):
     """What dependencies add, against what the rules say."""
-    comp = dependencies.active(b.mfired, b.deps.select("a", "b", "lift")).groupBy("x", "y").agg(F.sum("lift").alias("comp"))
+    comp = dependencies.active(b.cands, b.deps.select("a", "b", "lift")).groupBy("x", "y").agg(F.sum("lift").alias("comp"))
     rule = b.mfired.groupBy("x", "y").agg(F.sum("evidence").alias("rule"))
     return comp.join(rule, ["x", "y"]).select("x", "y", F.round(C("comp") / (C("rule") + 1e-9), 6).alias("ratio"))
 
