@@ -370,7 +370,7 @@ DEPS = """SELECT f.x, f.y, sum(0.1 * lift) / greatest(sqrt(count(*)), 1) AS dep_
     FROM ({LOGITS}) l LEFT JOIN ({DEPS}) e ON e.x = l.x AND e.y = l.y)""")
 def score_with_deps(b: Base):
     deps = b.deps.withColumn("w", C("lift") * 0.1)
-    return scoring.linear_scores(b.mfired, b.weights, deps).select("x", "y", r6("rule_logit"), r6("dep_logit"), r6("score"))
+    return scoring.linear_scores(b.mfired, b.weights, deps, sets=b.cands).select("x", "y", r6("rule_logit"), r6("dep_logit"), r6("score"))
 
 
 @plan("""SELECT part, count(*) AS n, round(sum(value), 4) AS total FROM (
@@ -378,7 +378,7 @@ def score_with_deps(b: Base):
     UNION ALL SELECT 'dependency', 0.1 * lift FROM mfired f JOIN deps d ON d.a = f.rule_id JOIN mfired g ON g.x = f.x AND g.y = f.y AND g.rule_id = d.b
     UNION ALL SELECT 'bias', 0 FROM (SELECT DISTINCT x, y FROM mfired)) GROUP BY part""")
 def explain_parts(b: Base):
-    got = scoring.explain(b.mfired, b.weights, b.deps.withColumn("w", C("lift") * 0.1))
+    got = scoring.explain(b.mfired, b.weights, b.deps.withColumn("w", C("lift") * 0.1), sets=b.cands)
     return got.groupBy("part").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -565,7 +565,7 @@ def agg_max_dep(b: Base):
     LEFT JOIN (SELECT x, count(DISTINCT r) AS linked FROM (SELECT f.x, unnest([d.a, d.b]) AS r FROM mfired f JOIN deps d ON d.a = f.rule_id JOIN mfired g ON g.x = f.x AND g.y = f.y AND g.rule_id = d.b) GROUP BY x) USING (x)
     LEFT JOIN (SELECT x, count(*) AS pairs FROM (SELECT DISTINCT f.x, d.a, d.b FROM mfired f JOIN deps d ON d.a = f.rule_id JOIN mfired g ON g.x = f.x AND g.y = f.y AND g.rule_id = d.b) GROUP BY x) USING (x)""")
 def query_coverage(b: Base):
-    return reports.query_coverage(b.mfired, b.deps)
+    return reports.query_coverage(b.mfired, b.deps, b.cands)
 
 
 @plan("SELECT x, y, round(rr_before, 6) AS max, round(rr_after, 6) AS noisyor FROM changes")
