@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence as E
 from ..functions.language import parse_rule
-from ..operators import analysis, answering, applying, dependencies, reports, scoring, stages, support
+from ..operators import analysis, answering, applying, dependencies, reports, scoring, sets, stages, support
 from ..sources import files
 from ..sources.graph import split_of
-from ..sources.stash import shared_dir
+from ..sources.stash import shared_dir, stash
 from .base import TARGET, WALK, Base
 from .queries import RUNS, C, features, plan, r6
 from .sql import CTES
@@ -282,9 +282,9 @@ def mrr_by_direction(b: Base):
 def train_two_stages(b: Base):
     """Rule and dependency weights from the valid customers' facts, both directions; every other of them chooses the epochs."""
     valid = split_of(C("x")) == "valid"
-    fired = answering.fired(b.mined.where(valid), b.known)
+    cands = sets.only(b.held.where(valid & ~C("hit")), b.bodies)
     part = F.when(F.floor(F.split("x", ":")[1].cast("long") / 5) % 2 == 0, "train").otherwise("valid")
-    rows = answering.labelled(answering.candidates(fired), b.ret.where(valid)).withColumn("part", part).withColumn("rel", F.lit(TARGET))
+    rows = stash(answering.labelled(cands, b.ret.where(valid)), "train_rows").withColumn("part", part).withColumn("rel", F.lit(TARGET))
     turn = lambda d, q, c: rows.select("rel", F.lit(d).alias("direction"), C(q).alias("query"), C(c).alias("cand"), "rules", "label", "part")
     start = b.weights.join(b.bodies.select("rule_id"), "rule_id", "left_semi").select(F.lit(TARGET).alias("rel"), "rule_id", "w")
     deps = b.deps.where("abs(lift) > 0.01").select(F.lit(TARGET).alias("rel"), "a", "b", "lift")
